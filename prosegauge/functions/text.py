@@ -41,23 +41,32 @@ def _fences(text: Column) -> Column:
     return F.aggregate(F.split(text, "\n"), start, _fence_step)
 
 
-def strip_fences(text: Column) -> Column:
-    """Blank the lines of closed fenced blocks; an unclosed one stays prose.  Texts without a marker skip the fold."""
-    end = _fences(text)
+def fence_state(text: Column) -> Column:
+    """The fold over the lines of a text with a fence marker, else null."""
+    return F.when(F.regexp_like(text, F.lit(_FENCE)), _fences(text))
+
+
+def blank_fences(text: Column, state: Column) -> Column:
+    """Blank the lines of closed fenced blocks; an unclosed one stays prose."""
     lines = F.split(text, "\n")
-    stripped = F.array_join(F.when(end["open"] == "", end["out"]).otherwise(F.concat(F.slice(end["out"], 1, end["at"]), F.slice(lines, end["at"] + 1, F.size(lines)))), "\n")
-    return F.when(F.regexp_like(text, F.lit(_FENCE)), stripped).otherwise(text)
+    restored = F.concat(F.slice(state["out"], 1, state["at"]), F.slice(lines, state["at"] + 1, F.size(lines)))
+    return F.when(state.isNull(), text).when(state["open"] == "", F.array_join(state["out"], "\n")).otherwise(F.array_join(restored, "\n"))
 
 
 def unclosed_fence(text: Column) -> Column:
-    return F.when(F.regexp_like(text, F.lit(_FENCE)), _fences(text)["open"] != "").otherwise(F.lit(False))
+    return F.coalesce(fence_state(text)["open"] != "", F.lit(False))
 
 
-def clean(text: Column) -> Column:
-    """Of canonical text: plain apostrophes, no front matter, no fenced code."""
+def unfenced(text: Column) -> Column:
+    """Of canonical text: plain apostrophes and no front matter."""
     text = F.replace(text, F.lit("’"), F.lit("'"))
-    text = F.regexp_replace(text, r"(?s)\A---[" + SPACE + r"]*\n.*?\n---[" + SPACE + r"]*(?:\n|\z)", "")
-    return strip_fences(text)
+    return F.regexp_replace(text, r"(?s)\A---[" + SPACE + r"]*\n.*?\n---[" + SPACE + r"]*(?:\n|\z)", "")
+
+
+def clean(text: Column) -> Column:
+    """unfenced(), then without fenced code."""
+    text = unfenced(text)
+    return blank_fences(text, fence_state(text))
 
 
 def strip(text: Column) -> Column:
@@ -96,6 +105,6 @@ def count_of(text: Column, characters: str) -> Column:
 
 
 SCRIPTS = {
-    "latin": r"A-Za-zÀ-ɏḀ-ỿ",
-    "other": r"Ͱ-ϿЀ-ԯ֐-׿؀-ۿऀ-ॿ฀-๿぀-ヿ㐀-䶿一-鿿가-힯",
+    "latin": r"A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ",
+    "other": r"Ͱ-ϿЀ-ԯ֐-׿؀-ۿݐ-ݿऀ-ॿ฀-๿ᄀ-ᇿ぀-ヿ㐀-䶿一-鿿가-힯",
 }

@@ -19,9 +19,11 @@ COPULA = r"(?i)\bthere\s+(is|are|was|were)\b"
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (cleaned), sents (array), w (array), and kept columns."""
-    text = T.clean(T.canonicalise(F.coalesce(F.col(text_col), F.lit(""))))
-    step = docs.select(F.col(id_col).alias("doc_id"), *keep, F.explode(F.array(text)).alias("text"))
-    return step.select("doc_id", *keep, "text", F.explode(F.array(T.paragraph_sentences(F.col("text")))).alias("sents"))
+    once = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  a generated column is computed once, however often it is read
+    step = docs.select(F.col(id_col).alias("doc_id"), *keep, once(T.unfenced(T.canonicalise(F.coalesce(F.col(text_col), F.lit("")))), "raw"))
+    step = step.select("doc_id", *keep, "raw", once(T.fence_state(F.col("raw")), "state"))
+    step = step.select("doc_id", *keep, once(T.blank_fences(F.col("raw"), F.col("state")), "text"))
+    return step.select("doc_id", *keep, "text", once(T.paragraph_sentences(F.col("text")), "sents"))
 
 
 def relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:

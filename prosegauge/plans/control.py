@@ -36,16 +36,16 @@ c AS (SELECT *, up - least(0.0, min(up) OVER {_RUN}) AS c_plus, down - least(0.0
 
 #: EWMA by a bounded window: terms older than 199 points weigh below 1e-19.
 EWMA = f"""WITH {_STREAM}, w AS (SELECT *, collect_list(x) OVER (PARTITION BY lang ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS xs FROM stream),
-z AS (SELECT *, CASE WHEN i < 200 THEN aggregate(xs, mu0, (z, v) -> 0.2D * v + 0.8D * z) ELSE aggregate(xs, 0.0D, (z, v) -> 0.2D * v + 0.8D * z) END AS z, 3.0 * sigma0 * sqrt(0.2 / 1.8 * (1 - power(0.8, 2 * (i + 1)))) AS half FROM w)
-SELECT lang, i, doc_id, round(z, 6) AS z, round(mu0 + half, 6) AS ucl, round(mu0 - half, 6) AS lcl, round(z, 6) > round(mu0 + half, 6) OR round(z, 6) < round(mu0 - half, 6) AS beyond FROM z"""
+z AS (SELECT *, CASE WHEN i < 200 THEN aggregate(xs, mu0, (z, v) -> 0.2D * v + 0.8D * z) ELSE aggregate(xs, 0.0D, (z, v) -> 0.2D * v + 0.8D * z) END AS z, 3.0D * sigma0 * sqrt(0.2D / 1.8D * (1 - power(0.8D, 2 * (i + 1)))) AS half FROM w)
+SELECT lang, i, doc_id, round(z, 5) AS z, round(mu0 + half, 5) AS ucl, round(mu0 - half, 5) AS lcl, round(z, 5) > round(mu0 + half, 5) OR round(z, 5) < round(mu0 - half, 5) AS beyond FROM z"""
 EWMA_SQL = f"""{_STREAM}, walk(lang, i, doc_id, z, mu0, sigma0) AS (SELECT lang, i, doc_id, 0.2 * x + 0.8 * mu0, mu0, sigma0 FROM stream WHERE i = 0 UNION ALL SELECT s.lang, s.i, s.doc_id, 0.2 * s.x + 0.8 * w.z, s.mu0, s.sigma0 FROM walk w JOIN stream s ON s.lang = w.lang AND s.i = w.i + 1),
-z AS (SELECT *, 3.0 * sigma0 * sqrt(0.2 / 1.8 * (1 - power(0.8, 2 * (i + 1)))) AS half FROM walk)
-SELECT lang, i, doc_id, round(z, 6) AS z, round(mu0 + half, 6) AS ucl, round(mu0 - half, 6) AS lcl, round(z, 6) > round(mu0 + half, 6) OR round(z, 6) < round(mu0 - half, 6) AS beyond FROM z"""
+z AS (SELECT *, 3.0 * sigma0 * sqrt(0.2::DOUBLE / 1.8::DOUBLE * (1 - power(0.8::DOUBLE, 2 * (i + 1)))) AS half FROM walk)
+SELECT lang, i, doc_id, round(z, 5) AS z, round(mu0 + half, 5) AS ucl, round(mu0 - half, 5) AS lcl, round(z, 5) > round(mu0 + half, 5) OR round(z, 5) < round(mu0 - half, 5) AS beyond FROM z"""
 
 SPEARMAN = f"""WITH lng AS (SELECT f.doc_id, lang, feature, v, n_words FROM ({_LONG}) f JOIN (SELECT doc_id, n_words FROM {{doc}}) d ON f.doc_id = d.doc_id),
 rk AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY feature ORDER BY n_words) + (count(*) OVER (PARTITION BY feature, n_words) - 1) / 2.0 AS b FROM lng)
-SELECT feature, count(*) AS n, CASE WHEN var_pop(CAST(a AS DOUBLE)) = 0 OR var_pop(CAST(b AS DOUBLE)) = 0 THEN 0.0 ELSE round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 6) END AS rho FROM rk GROUP BY feature"""
+SELECT feature, count(*) AS n, coalesce(round((count(*) * sum(CAST(a AS DOUBLE) * b) - sum(CAST(a AS DOUBLE)) * sum(CAST(b AS DOUBLE))) / nullif(sqrt(count(*) * sum(CAST(a AS DOUBLE) * a) - sum(CAST(a AS DOUBLE)) * sum(CAST(a AS DOUBLE))) * sqrt(count(*) * sum(CAST(b AS DOUBLE) * b) - sum(CAST(b AS DOUBLE)) * sum(CAST(b AS DOUBLE))), 0), 6), 0.0) AS rho FROM rk GROUP BY feature"""
 
-DETECTION = f"WITH {_DIST}, {_RANK} SELECT lang, count(*) AS n, sum(CASE WHEN percentile > 95 THEN 1 ELSE 0 END) AS detected, round(sum(CASE WHEN percentile > 95 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS rate FROM pct GROUP BY lang"
+DETECTION = f"WITH {_DIST}, {_RANK} SELECT lang, count(*) AS n, CAST(sum(CASE WHEN percentile > 95 THEN 1 ELSE 0 END) AS BIGINT) AS detected, round(sum(CASE WHEN percentile > 95 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS rate FROM pct GROUP BY lang"
 
 CONTRAST = f"""WITH lng AS (SELECT quality, toxic, feature, v FROM ({_LONG}) f JOIN {{labels}} l ON f.doc_id = l.doc_id) SELECT quality, toxic, feature, count(*) AS n, round(avg(v), 6) AS mean FROM lng GROUP BY quality, toxic, feature"""

@@ -60,7 +60,7 @@ SFL = f"""WITH {COUNTS}, six AS (SELECT d.doc_id, d.n_words, d.n_exist, c.k1, c.
 SELECT d.doc_id, {GATE} CASE WHEN k1 + k2 + rel + k5 + k6 + n_exist = 0 THEN 0.0 ELSE {r(entropy(_SIX, "k1 + k2 + rel + k5 + k6 + n_exist").replace("((rel)", "((rel)"))} END END AS process_proxy_entropy,
   {GATE} {r("(rel + n_exist) / CAST(greatest(k1 + k2 + k6, 1) AS DOUBLE)")} END AS stative_active_ratio, {GATE} {r("(k1 + k2) * 100.0 / CAST(d.n_words AS DOUBLE)")} END AS projection_frequency FROM six d"""
 
-SFL_TRACE = f"""WITH {COUNTS} SELECT d.doc_id, coalesce(k1, 0) AS mental, coalesce(k2, 0) AS verbal, greatest(0, coalesce(k3 + k4, 0) - d.n_cop) AS relational, coalesce(k5, 0) AS behavioral, d.n_exist AS existential, coalesce(k6, 0) AS material, d.n_cop AS debit
+SFL_TRACE = f"""WITH {COUNTS} SELECT d.doc_id, {", ".join(f"CAST({x} AS BIGINT) AS {n}" for n, x in [("mental", "coalesce(k1, 0)"), ("verbal", "coalesce(k2, 0)"), ("relational", "greatest(0, coalesce(k3 + k4, 0) - d.n_cop)"), ("behavioral", "coalesce(k5, 0)"), ("existential", "d.n_exist"), ("material", "coalesce(k6, 0)"), ("debit", "d.n_cop")])}
 FROM {{doc}} d LEFT JOIN counts c ON d.doc_id = c.doc_id"""
 
 STYLOMETRY = f"""SELECT d.doc_id, {", ".join(f"CASE WHEN d.n_sent > 0 AND d.n_words > 0 THEN {r(x)} END AS {n}" for n, x in [("semicolon_per_1k_words", "semicolons * 1000.0 / CAST(d.n_words AS DOUBLE)"), ("comma_per_sentence", "commas / CAST(d.n_sent AS DOUBLE)"), ("question_rate", "questions / CAST(d.n_sent AS DOUBLE)"), ("exclamation_rate", "exclaims / CAST(d.n_sent AS DOUBLE)"), ("quotation_density", "quotes * 1000.0 / CAST(greatest(n_chars, 1) AS DOUBLE)")])} FROM {{doc}} d"""

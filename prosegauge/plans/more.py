@@ -1,9 +1,121 @@
-"""Queries beyond the shared ones."""
+"""Queries beyond the shared SQL: scripts, lines, vectors, conversations and the sequential operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.lexicon import words
+from ..operators import columns, reference, sequential
+from .base import cleaned, relations
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LATIN, _OTHER = T.SCRIPTS["latin"], T.SCRIPTS["other"]
+
+
+def script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of the Latin script and of ten others; soft refusal at 50 letters and a tenth."""
+    n = lambda c: F.regexp_count("text", F.lit(f"[{c}]")).cast("long")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", n(_LATIN).alias("latin"), n(_OTHER).alias("other"))
+    return rows.withColumn("nonlatin", (F.col("other") >= 50) & (F.col("other") >= 0.1 * (F.col("latin") + F.col("other"))))
+
+
+_LINES = [("heading", r"^\s{0,3}#{1,6}\s"), ("rule", r"^\s*(?:[-*_]\s*){3,}$"), ("table", r"^\s*\|"), ("bullet", r"^\s*(?:[-*+]|\d+\.)\s+")]
+
+
+def structural_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each kind per document, rules before headings, tables and bullets, the rest prose (no fences or front matter in these tables)."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
+    like = lambda p: F.regexp_like("x", F.lit(p))
+    kind = F.when(~like(r"\S"), "blank").when(like(r"^\s{4,}\S"), "code").when(like(_LINES[1][1]), "rule").when(like(_LINES[0][1]), "heading").when(like(_LINES[2][1]), "table").when(like(_LINES[3][1]), "bullet").otherwise("prose")
+    return lines.select("doc_id", kind.alias("k")).groupBy("doc_id").agg(*[F.count_if(F.col("k") == k).alias(f"n_{k}") for k in ("blank", "code", "rule", "heading", "table", "bullet", "prose")])
+
+
+STRUCTURAL_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), c AS (SELECT doc_id, CASE WHEN NOT regexp_matches(x, '\S') THEN 'blank' WHEN regexp_matches(x, '^\s{4,}\S') THEN 'code' WHEN regexp_matches(x, '^\s*(?:[-*_]\s*){3,}$') THEN 'rule' WHEN regexp_matches(x, '^\s{0,3}#{1,6}\s') THEN 'heading' WHEN regexp_matches(x, '^\s*\|') THEN 'table' WHEN regexp_matches(x, '^\s*(?:[-*+]|\d+\.)\s+') THEN 'bullet' ELSE 'prose' END AS k FROM l)
+SELECT doc_id, """ + ", ".join(f"count_if(k = '{k}') AS n_{k}" for k in ("blank", "code", "rule", "heading", "table", "bullet", "prose")) + " FROM c GROUP BY doc_id"
+
+
+def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine and Euclidean distance of each vector and the next."""
+    e = _table(spark, sf_dir, "embeddings")
+    a, b = e.select("vec_id", F.col("embedding").alias("a")), e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return a.join(b, "vec_id").select("vec_id", F.round(columns.cosine(F.col("a"), F.col("b")), 6).alias("cosine"), F.round(columns.euclidean(F.col("a"), F.col("b")), 6).alias("euclidean"))
+
+
+def conversation_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, modals and negations of each role per 100 words."""
+    w = T.words(F.coalesce("text", F.lit("")))
+    hits = lambda name: F.size(F.filter("w", lambda x: x.isin(words(name))))
+    rows = _table(spark, sf_dir, "conversations").select("role", F.explode(F.array(w)).alias("w"))
+    total = rows.groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.size("w")).alias("words"), F.sum(hits("modal")).alias("m"), F.sum(hits("neg")).alias("n"))
+    return total.select("role", "turns", "words", F.round(100.0 * F.col("m") / F.nullif(F.col("words"), F.lit(0)), 6).alias("modal_density"), F.round(100.0 * F.col("n") / F.nullif(F.col("words"), F.lit(0)), 6).alias("negation_density"))
+
+
+def _in(name: str) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words(name))
+
+
+_PATTERN = "'" + T.WORD.replace("'", "''") + "'"
+CONVERSATION_SQL = f"""WITH t AS (SELECT role, list_transform(regexp_extract_all(coalesce(text, ''), {_PATTERN}), lambda x: replace(lower(x), '’', '''')) AS w FROM conversations),
+s AS (SELECT role, count(*) AS turns, sum(len(w))::BIGINT AS words, sum(len(list_filter(w, lambda x: x IN ({_in("modal")})))) AS m, sum(len(list_filter(w, lambda x: x IN ({_in("neg")})))) AS n FROM t GROUP BY role)
+SELECT role, turns, words, round(100.0::DOUBLE * m / nullif(words, 0), 6) AS modal_density, round(100.0::DOUBLE * n / nullif(words, 0), 6) AS negation_density FROM s"""
+
+
+def lz78(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned(_table(spark, sf_dir, "documents")).select("doc_id", sequential.phrase_rate("text").alias("compression_ratio"))
+
+
+def elegant_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequential.slices(_table(spark, sf_dir, "documents"))
+
+
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequential.bootstrap(_table(spark, sf_dir, "documents"))
+
+
+def perturb_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean words and sentences per perturbation and intensity."""
+    changed = sequential.perturbed(_table(spark, sf_dir, "documents"))
+    return changed.groupBy("kind", "intensity").agg(F.count("*").alias("n"), F.round(F.avg(T.blank_words(F.col("text"))), 6).alias("words"))
+
+
+REGISTER = ["lexical_novelty", "sentence_length_variance", "modal_density", "negation_density"]
+
+
+def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import queries
+
+    rel = relations(_table(spark, sf_dir, "documents"), keep=("lang",))
+    return spark.sql(queries._fill(queries.FEAT, queries.SPARK), **rel)
+
+
+def reference_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference per language fitted on even ids; every document routed to the nearest."""
+    feat = _register(spark, sf_dir).cache()
+    langs = [r[0] for r in feat.select("lang").distinct().orderBy("lang").limit(100).collect()]
+    refs = [reference.fit(feat.where((F.col("doc_id") % 2 == 0) & (F.col("lang") == x)), REGISTER, x) for x in langs]
+    return reference.route(feat, refs).select("doc_id", "lang", "cohort", F.round("distance", 6).alias("distance"), "match")
+
+
+def record_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feat = _register(spark, sf_dir)
+    return feat.select("doc_id", sequential.record_hash(F.struct(*REGISTER)).alias("reading_sha256"))
 
 
 def queries():
-    return {}
+    return {f.__name__: f for f in (script_counts, structural_lines, embedding_cosine, conversation_register, lz78, elegant_slices, bootstrap_ci, perturb_study, reference_route, record_hash)}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    count = lambda c: f"len(regexp_extract_all(text, '[{c}]'))"
+    return {
+        "script_counts": f"SELECT doc_id, latin, other, other >= 50 AND other >= 0.1 * (latin + other) AS nonlatin FROM (SELECT doc_id, {count(_LATIN)} AS latin, {count(_OTHER)} AS other FROM documents) x",
+        "structural_lines": STRUCTURAL_SQL,
+        "embedding_cosine": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS euclidean FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+        "conversation_register": CONVERSATION_SQL,
+    }

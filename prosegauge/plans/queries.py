@@ -99,11 +99,11 @@ _ONE = "{u} AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS axis, round(lea
 _AXIS = f"WITH pairs AS ({_PAIRS}), {_ONE.replace('{u}', 'u')}, ax AS (SELECT doc_id, axis, flat, CASE WHEN flat IS NOT NULL THEN wide END AS wide, CASE WHEN flat IS NULL THEN 'incomparable' WHEN round(1 - abs(flat - wide), 7) < 0.8 THEN 'diverge' WHEN (flat + wide) / 2 >= 0.66 THEN 'agree_high' WHEN (flat + wide) / 2 <= 0.33 THEN 'agree_low' ELSE 'agree_mid' END AS direction FROM u)"
 CONVERGENCE = f"{_AXIS} SELECT doc_id, axis, round(flat, 5) AS flat, round(wide, 5) AS wide, direction FROM ax"
 COHERENCE = f"""{_AXIS}, k AS (SELECT doc_id, sum(CASE WHEN direction LIKE 'agree%' THEN 1 ELSE 0 END) AS agree5, sum(CASE WHEN direction = 'diverge' THEN 1 ELSE 0 END) AS diverge5, sum(CASE WHEN direction LIKE 'agree%' AND axis <> 'cohesion_repetition' THEN 1 ELSE 0 END) AS agree, sum(CASE WHEN direction <> 'incomparable' AND axis <> 'cohesion_repetition' THEN 1 ELSE 0 END) AS measurable FROM ax GROUP BY doc_id)
-SELECT doc_id, agree AS n_agree, measurable AS n_measurable, round(agree / CAST(nullif(measurable, 0) AS DOUBLE), 6) AS value, CASE WHEN measurable = 0 THEN NULL WHEN measurable < 3 THEN 'unmeasurable' WHEN agree / CAST(measurable AS DOUBLE) >= 0.8 THEN 'high' WHEN agree / CAST(measurable AS DOUBLE) >= 0.5 THEN 'moderate' ELSE 'low' END AS label,
+SELECT doc_id, CAST(agree AS BIGINT) AS n_agree, CAST(measurable AS BIGINT) AS n_measurable, round(agree / CAST(nullif(measurable, 0) AS DOUBLE), 6) AS value, CASE WHEN measurable = 0 THEN NULL WHEN measurable < 3 THEN 'unmeasurable' WHEN agree / CAST(measurable AS DOUBLE) >= 0.8 THEN 'high' WHEN agree / CAST(measurable AS DOUBLE) >= 0.5 THEN 'moderate' ELSE 'low' END AS label,
   CASE WHEN agree5 >= 4 THEN 'converge' WHEN diverge5 >= 4 THEN 'diverge' ELSE 'mixed' END AS overall FROM k"""
 
-MINIMUM = "SELECT lang, count(*) AS documents, sum(n_words) AS words, round(avg(modal_density), 6) AS modal_density, round(avg(lexical_novelty), 6) AS lexical_novelty FROM {feat} WHERE n_words >= 150 GROUP BY lang"
-COHORTS = "SELECT lang, CASE WHEN n_words < 2000 THEN 'short' WHEN n_words < 8000 THEN 'medium' ELSE 'long' END AS cohort, count(*) AS n, sum(n_words) AS words FROM {doc} GROUP BY lang, CASE WHEN n_words < 2000 THEN 'short' WHEN n_words < 8000 THEN 'medium' ELSE 'long' END"
+MINIMUM = "SELECT lang, count(*) AS documents, CAST(sum(n_words) AS BIGINT) AS words, round(avg(modal_density), 6) AS modal_density, round(avg(lexical_novelty), 6) AS lexical_novelty FROM {feat} WHERE n_words >= 150 GROUP BY lang"
+COHORTS = "SELECT lang, CASE WHEN n_words < 2000 THEN 'short' WHEN n_words < 8000 THEN 'medium' ELSE 'long' END AS cohort, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS words FROM {doc} GROUP BY lang, CASE WHEN n_words < 2000 THEN 'short' WHEN n_words < 8000 THEN 'medium' ELSE 'long' END"
 SOFT = "SELECT doc_id, n_words < 60 AS below_hard_floor, n_words < 120 AS joint_cosine_unreliable, n_words < 200 AS rst_unreliable FROM {doc}"
 
 #: name -> (SQL, relations beyond the base ones)
