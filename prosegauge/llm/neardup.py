@@ -41,6 +41,8 @@ BANDS = 24
 ROWS = 5
 #: Least share of equal registers that is verified in step 3: 0.8 less five standard deviations.
 LIKELY = 0.62
+#: Most numbers of candidate texts (8 bytes each) that are broadcast to pick texts; more are joined by shuffle.
+BROADCAST = 2_000_000
 #: Rows of one side of a block in step 3.
 BLOCK = 1_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -247,6 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     involved = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.withColumn("node", F.coalesce("doc_id", F.xxhash64(F.unhex(F.md5(F.array_join(_words("text"), " ").cast("binary")))))).drop("doc_id")
+    involved = materialise(involved, "near-involved")
+    if involved.limit(BROADCAST + 1).count() <= BROADCAST:  # then only their texts are shuffled, not all
+        involved = F.broadcast(involved)
     texts = materialise(texts.join(involved, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "near-texts")
 
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
