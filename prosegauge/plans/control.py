@@ -49,3 +49,11 @@ SELECT feature, count(*) AS n, coalesce(round((count(*) * sum(CAST(a AS DOUBLE)
 DETECTION = f"WITH {_DIST}, {_RANK} SELECT lang, count(*) AS n, CAST(sum(CASE WHEN percentile > 95 THEN 1 ELSE 0 END) AS BIGINT) AS detected, round(sum(CASE WHEN percentile > 95 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS rate FROM pct GROUP BY lang"
 
 CONTRAST = f"""WITH lng AS (SELECT quality, toxic, feature, v FROM ({_LONG}) f JOIN {{labels}} l ON f.doc_id = l.doc_id) SELECT quality, toxic, feature, count(*) AS n, round(avg(v), 6) AS mean FROM lng GROUP BY quality, toxic, feature"""
+
+ENVELOPE = f"WITH {_DIST}, lim AS (SELECT lang, {{percentile_x95}} AS p95, count(*) AS n FROM dist WHERE doc_id % 2 = 0 GROUP BY lang) SELECT d.doc_id, d.lang, d.x AS distance, round(lim.p95, 5) AS p95, CASE WHEN d.x <= lim.p95 THEN 'within' ELSE 'beyond' END AS envelope FROM dist d JOIN lim ON d.lang = lim.lang WHERE d.doc_id % 2 <> 0"
+
+SUMMARY = """SELECT e.lang, CAST(e.n AS BIGINT) AS points, CAST(e.signals AS BIGINT) AS ewma_signals, CAST(c.signals AS BIGINT) AS cusum_signals, CAST(i.signals AS BIGINT) AS exceedances, e.first AS ewma_first, c.first AS cusum_first, i.first AS exceedance_first,
+  CASE WHEN e.signals > 0 OR c.signals > 0 THEN 'sustained_shift_signal' WHEN i.signals > 0 THEN 'isolated_exceedance' ELSE 'in_control' END AS state
+FROM (SELECT lang, count(*) AS n, sum(CASE WHEN beyond THEN 1 ELSE 0 END) AS signals, min(CASE WHEN beyond THEN i END) AS first FROM {ewma} GROUP BY lang) e
+JOIN (SELECT lang, sum(CASE WHEN signal THEN 1 ELSE 0 END) AS signals, min(CASE WHEN signal THEN i END) AS first FROM {cusum} GROUP BY lang) c ON e.lang = c.lang
+JOIN (SELECT lang, sum(CASE WHEN exceeds THEN 1 ELSE 0 END) AS signals, min(CASE WHEN exceeds THEN i END) AS first FROM {individuals} GROUP BY lang) i ON e.lang = i.lang"""

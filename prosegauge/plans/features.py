@@ -130,3 +130,15 @@ t AS (SELECT doc_id, count(*) AS total, {", ".join(f"sum(CASE WHEN rel = {k} THE
 SELECT d.doc_id, {", ".join(f"coalesce({r(f't.r{k + 1} / CAST(nullif(d.n_sent, 0) AS DOUBLE)')}, 0.0) AS {name}_density" for k, name in enumerate(RELATIONS))}, coalesce({r("t.total / CAST(nullif(d.n_sent, 0) AS DOUBLE)")}, 0.0) AS total_marker_density,
   coalesce({r("(" + entropy(_REL9, "t.total") + ") / log2(CAST(9 AS DOUBLE))")}, 0.0) AS relation_diversity, coalesce({r("br.switches / CAST(nullif(br.pairs, 0) AS DOUBLE)")}, 0.0) AS branching_score, coalesce({r("deep.n / CAST(nullif(d.n_sent, 0) AS DOUBLE)")}, 0.0) AS max_depth_score
 FROM {{doc}} d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN br ON d.doc_id = br.doc_id LEFT JOIN deep ON d.doc_id = deep.doc_id"""
+
+_RULES = ["default", "lexicon_mental", "lexicon_verbal", "lexicon_copula_be", "lexicon_relational", "lexicon_behavioral", "lexicon_material", "denylist_plural_noun", "denylist_adjectival_participle", "denylist_non_process"]
+_SHOWN = ["none", "mental", "verbal", "relational", "relational", "behavioral", "material", "none", "none", "none"]
+_CODE = "CASE WHEN l.cls >= 1 THEN l.cls WHEN f.word LIKE '%ing' AND length(f.word) > 5 THEN 10 WHEN f.word LIKE '%ed' AND length(f.word) > 4 THEN 11 ELSE 0 END"
+#: One row per token: its class and the rule that gave it.
+TOKEN_TRACE = f"""SELECT /*+ BROADCAST(l) */ f.doc_id, f.pos, f.word, CASE {_CODE} {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SHOWN))} ELSE 'material' END AS classification,
+  CASE {_CODE} {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_RULES))} WHEN 10 THEN 'morphology_ing' ELSE 'morphology_ed' END AS rule FROM {{tok}} f LEFT JOIN {{lex}} l ON f.word = l.word"""
+
+TOP_WORDS = "SELECT doc_id, word, c, CAST(k AS BIGINT) AS place FROM (SELECT doc_id, word, c, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, p) AS k FROM {freq} WHERE length(word) >= 3) x WHERE k <= 20"
+
+#: Upper ends of the fixed scales of the flat embedding, in the order of the compact reading.
+SCALES = {"process_proxy_entropy": 2.2, "stative_active_ratio": 3.0, "projection_frequency": 6.0, "marker_density": 1.0, "elaboration_marker_density": 1.0, "contrast_marker_density": 1.0, "type_token_ratio": 1.0, "pronoun_density": 15.0, "lexical_repetition": 1.0, "lexical_novelty": 1.0, "sentence_length_variance": 10.0, "modal_density": 5.0, "negation_density": 5.0}

@@ -82,8 +82,8 @@ def blank_tokens(ww: DataFrame) -> DataFrame:
 WW_SQL = f"ww AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS w FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS l FROM doc) x), wt AS (SELECT doc_id, k, lower(unnest(regexp_extract_all(w, {_q(T.WORD)}))) AS word FROM ww)"
 
 #: Fragments that the engines spell differently.
-SPARK = {"blank_count": f"regexp_count(text, '[^{T.SPACE}]+')".replace("\\", "\\\\"), "ends": "before RLIKE '[.!?]$'", "capital": "w RLIKE '^[A-Z]'", "short": "lower(regexp_replace(before, '[.]+$', ''))", "odd_quotes": "(length(d.text) - length(replace(d.text, '\"', ''))) % 2 = 1 OR length(replace(d.text, '“', '')) <> length(replace(d.text, '”', ''))"} | {f"percentile_{p}": f"percentile(v, {p / 100})" for p in (5, 25, 50, 75, 95)}
-DUCK = SPARK | {"blank_count": "len(regexp_extract_all(text, '\\S+'))", "ends": "regexp_matches(before, '[.!?]$')", "capital": "regexp_matches(w, '^[A-Z]')", "short": "lower(rtrim(before, '.'))"} | {f"percentile_{p}": f"quantile_cont(v, {p / 100}::DOUBLE)" for p in (5, 25, 50, 75, 95)}
+SPARK = {"blank_count": f"regexp_count(text, '[^{T.SPACE}]+')".replace("\\", "\\\\"), "ends": "before RLIKE '[.!?]$'", "capital": "w RLIKE '^[A-Z]'", "short": "lower(regexp_replace(before, '[.]+$', ''))", "odd_quotes": "(length(d.text) - length(replace(d.text, '\"', ''))) % 2 = 1 OR length(replace(d.text, '“', '')) <> length(replace(d.text, '”', ''))"} | {f"percentile_{p}": f"percentile(v, {p / 100})" for p in (5, 25, 50, 75, 95)} | {"percentile_x95": "percentile(x, 0.95)"}
+DUCK = SPARK | {"blank_count": "len(regexp_extract_all(text, '\\S+'))", "ends": "regexp_matches(before, '[.!?]$')", "capital": "regexp_matches(w, '^[A-Z]')", "short": "lower(rtrim(before, '.'))"} | {f"percentile_{p}": f"quantile_cont(v, {p / 100}::DOUBLE)" for p in (5, 25, 50, 75, 95)} | {"percentile_x95": "quantile_cont(x, 0.95::DOUBLE)"}
 
 READING = f"SELECT s.doc_id, s.process_proxy_entropy, s.stative_active_ratio, s.projection_frequency, t.marker_density, t.elaboration_marker_density, t.contrast_marker_density, c.type_token_ratio, c.pronoun_density, c.lexical_repetition, g.lexical_novelty, g.sentence_length_variance, g.modal_density, g.negation_density FROM ({X.SFL}) s JOIN ({X.RST}) t ON s.doc_id = t.doc_id JOIN ({X.COHESION}) c ON s.doc_id = c.doc_id JOIN ({X.REGISTER}) g ON s.doc_id = g.doc_id"
 
@@ -95,9 +95,9 @@ _AXES = [
     ("register_modality", "g.modal_density", 0.0, 2.45, "(e.modal_density + e.hedge_density)", 0.0, 4.9),
 ]
 _PAIRS = f"SELECT s.doc_id, {', '.join(f'{a} AS a{k}, {b} AS b{k}' for k, (_, a, _, _, b, _, _) in enumerate(_AXES))} FROM ({X.SFL}) s JOIN ({X.RST}) t ON s.doc_id = t.doc_id JOIN ({X.COHESION}) c ON s.doc_id = c.doc_id JOIN ({X.REGISTER}) g ON s.doc_id = g.doc_id JOIN ({X.EXT_SFL}) e ON s.doc_id = e.doc_id JOIN ({X.EXT_RST}) x ON s.doc_id = x.doc_id JOIN ({X.EXT_COHESION}) h ON s.doc_id = h.doc_id"
-_ONE = "{u} AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS axis, round(least(1.0, greatest(0.0, (a{k} - {lo}) / ({hi} - {lo}))), 7) AS flat, round(least(1.0, greatest(0.0, (b{k} - {lo2}) / ({hi2} - {lo2}))), 7) AS wide FROM pairs" for k, (n, _, lo, hi, _, lo2, hi2) in enumerate(_AXES)) + ")"
+_ONE = "{u} AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS axis, CASE WHEN a{k} IS NOT NULL THEN round(least(1.0, greatest(0.0, (a{k} - {lo}) / ({hi} - {lo}))), 7) END AS flat, round(least(1.0, greatest(0.0, (b{k} - {lo2}) / ({hi2} - {lo2}))), 7) AS wide FROM pairs" for k, (n, _, lo, hi, _, lo2, hi2) in enumerate(_AXES)) + ")"
 _AXIS = f"WITH pairs AS ({_PAIRS}), {_ONE.replace('{u}', 'u')}, ax AS (SELECT doc_id, axis, flat, CASE WHEN flat IS NOT NULL THEN wide END AS wide, CASE WHEN flat IS NULL THEN 'incomparable' WHEN round(1 - abs(flat - wide), 7) < 0.8 THEN 'diverge' WHEN (flat + wide) / 2 >= 0.66 THEN 'agree_high' WHEN (flat + wide) / 2 <= 0.33 THEN 'agree_low' ELSE 'agree_mid' END AS direction FROM u)"
-CONVERGENCE = f"{_AXIS} SELECT doc_id, axis, round(flat, 5) AS flat, round(wide, 5) AS wide, direction FROM ax"
+CONVERGENCE = f"{_AXIS} SELECT doc_id, axis, flat, wide, direction FROM ax"
 COHERENCE = f"""{_AXIS}, k AS (SELECT doc_id, sum(CASE WHEN direction LIKE 'agree%' THEN 1 ELSE 0 END) AS agree5, sum(CASE WHEN direction = 'diverge' THEN 1 ELSE 0 END) AS diverge5, sum(CASE WHEN direction LIKE 'agree%' AND axis <> 'cohesion_repetition' THEN 1 ELSE 0 END) AS agree, sum(CASE WHEN direction <> 'incomparable' AND axis <> 'cohesion_repetition' THEN 1 ELSE 0 END) AS measurable FROM ax GROUP BY doc_id)
 SELECT doc_id, CAST(agree AS BIGINT) AS n_agree, CAST(measurable AS BIGINT) AS n_measurable, round(agree / CAST(nullif(measurable, 0) AS DOUBLE), 6) AS value, CASE WHEN measurable = 0 THEN NULL WHEN measurable < 3 THEN 'unmeasurable' WHEN agree / CAST(measurable AS DOUBLE) >= 0.8 THEN 'high' WHEN agree / CAST(measurable AS DOUBLE) >= 0.5 THEN 'moderate' ELSE 'low' END AS label,
   CASE WHEN agree5 >= 4 THEN 'converge' WHEN diverge5 >= 4 THEN 'diverge' ELSE 'mixed' END AS overall FROM k"""
@@ -106,12 +106,16 @@ MINIMUM = "SELECT lang, count(*) AS documents, CAST(sum(n_words) AS BIGINT) AS w
 COHORTS = "SELECT lang, CASE WHEN n_words < 2000 THEN 'short' WHEN n_words < 8000 THEN 'medium' ELSE 'long' END AS cohort, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS words FROM {doc} GROUP BY lang, CASE WHEN n_words < 2000 THEN 'short' WHEN n_words < 8000 THEN 'medium' ELSE 'long' END"
 SOFT = "SELECT doc_id, n_words < 60 AS below_hard_floor, n_words < 120 AS joint_cosine_unreliable, n_words < 200 AS rst_unreliable FROM {doc}"
 
+_SCALED = {k: f"ln(1 + {k})" if k == "sentence_length_variance" else k for k in X.SCALES}
+EMBEDDING = f"SELECT doc_id, {', '.join(f'CASE WHEN {k} IS NOT NULL THEN round(least(1.0, greatest(0.0, {_SCALED[k]} / {top})), 5) END AS {k}' for k, top in X.SCALES.items())} FROM ({READING}) reading"
+
 #: name -> (SQL, relations beyond the base ones)
 SHARED: dict[str, tuple[str, tuple[str, ...]]] = {
     "doc_word_counts": (X.WORD_COUNTS, ()), "cohesion_compact": (X.COHESION, ()), "register_compact": (X.REGISTER, ()), "sfl_compact": (X.SFL, ()), "sfl_trace_counts": (X.SFL_TRACE, ()), "rst_compact": (X.RST, ("cue",)), "stylometry": (X.STYLOMETRY, ()),
     "dist_types": (X.DIST_TYPES, ()), "dist_mattr": (X.DIST_MATTR, ()), "dist_bigram_entropy": (X.DIST_BIGRAM, ()), "dist_halflife": (X.DIST_HALFLIFE, ()), "dist_burstiness": (X.DIST_BURSTINESS, ()), "dist_sentence_entropy": (X.DIST_SENTENCES, ()), "dist_char_entropy": (X.DIST_CHARS, ("letters",)),
     "ext_sfl": (X.EXT_SFL, ()), "ext_rst": (X.EXT_RST, ("cue",)), "ext_cohesion": (X.EXT_COHESION, ()), "compact_reading": (READING, ("cue",)), "convergence_axes": (CONVERGENCE, ("cue",)), "coherence": (COHERENCE, ("cue",)),
     "chunker_slices": (J.SLICES, ("ww",)), "trajectory_chunker": (J.TRAJECTORY, ("ww",)), "slice_deltas": (J.DELTAS, ("ww", "traj")), "arc_summary": (J.ARC, ("ww", "traj")), "slice_labels": (J.LABELS, ("ww", "traj")), "flags_summary": (J.FLAGS, ("ww", "traj")),
+    "sfl_token_trace": (X.TOKEN_TRACE, ()), "top_words": (X.TOP_WORDS, ()), "flat_embedding": (EMBEDDING, ("cue",)), "distance_envelope": (control.ENVELOPE, ("feat",)), "spc_summary": (control.SUMMARY, ("feat", "charts")),
     "words_by_lang": (MINIMUM, ("feat",)), "length_cohorts": (COHORTS, ()), "soft_flags": (SOFT, ()), "reference_feature_stats": (control.REFERENCE, ("feat",)), "zscore_distance": (control.DISTANCE, ("feat",)), "distance_midrank": (control.MIDRANK, ("feat",)), "feature_bh": (control.BH, ("feat",)), "cv_fold_ids": (control.FOLDS, ("feat",)),
     "spc_individuals": (control.INDIVIDUALS, ("feat",)), "spc_cusum": (control.CUSUM, ("feat",)), "spc_ewma": (control.EWMA, ("feat",)), "length_spearman": (control.SPEARMAN, ("feat",)), "detection_rate": (control.DETECTION, ("feat",)), "quality_label_contrast": (control.CONTRAST, ("feat", "labels")),
 }
@@ -138,19 +142,19 @@ def run(spark: SparkSession, name: str, docs: DataFrame, labels: DataFrame | Non
         rel["wt"] = blank_tokens(rel["ww"])
     if labels is not None:
         rel["labels"] = labels
-    names = {k: "{" + k + "}" for k in rel}
     if "traj" in more:
         rel["traj"] = spark.sql(_fill(J.TRAJECTORY, SPARK), **rel)
     if "feat" in more:
         rel["feat"] = spark.sql(_fill(FEAT, SPARK), **rel)
-    del names
+    if "charts" in more:
+        rel |= {k: spark.sql(_fill(q, SPARK), **rel) for k, q in (("ewma", control.EWMA), ("cusum", control.CUSUM), ("individuals", control.INDIVIDUALS))}
     return spark.sql(_fill(sql, SPARK), **rel)
 
 
 def _other(name: str) -> str:
     sql, more = SHARED[name]
     parts = [base.base_sql(keep=("lang",)).strip()]
-    plain = {k: k for k in "doc sen tok freq lex cue letters ww wt traj feat labels".split()}
+    plain = {k: k for k in "doc sen tok freq lex cue letters ww wt traj feat labels ewma cusum individuals".split()}
     if "cue" in more:
         parts.append(CUE_SQL)
     if "letters" in more:
@@ -161,6 +165,8 @@ def _other(name: str) -> str:
         parts.append(f"traj AS ({_fill(J.TRAJECTORY, DUCK | plain)})")
     if "feat" in more:
         parts.append(f"feat AS ({_fill(FEAT, DUCK | plain)})")
+    if "charts" in more:
+        parts += [f"{k} AS ({q})" for k, q in (("ewma", "WITH RECURSIVE " + _fill(control.EWMA_SQL, DUCK | plain)), ("cusum", _fill(control.CUSUM, DUCK | plain)), ("individuals", _fill(control.INDIVIDUALS, DUCK | plain)))]
     if name == "spc_ewma":
         return "WITH RECURSIVE " + ", ".join(parts) + ", " + _fill(control.EWMA_SQL, DUCK | plain)
     return "WITH " + ", ".join(parts) + " SELECT * FROM (" + _fill(sql, DUCK | plain) + ") final_result"
