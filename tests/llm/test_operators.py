@@ -149,6 +149,34 @@ def test_quality_verdict(spark, data, odd, none, labels):
     assert quality.quality(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_quality_of_good_rows_outside_the_fit(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.01"
+    docs, truth = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    good = duckdb.sql(f"select doc_id, lang from '{at}/documents.parquet' join '{at}/labels.parquet' using (doc_id) where quality = 1 order by doc_id").fetchall()
+    german = [i for i, lang in good if lang == "de"]
+    for out in ({i for k, (i, _) in enumerate(good) if k % 5 == 0}, set(german[10:])):
+        rows = quality.quality(docs, truth.where(~F.col("doc_id").isin(out))).where("not base_failed").join(docs.select("doc_id", "lang"), "doc_id").collect()
+        kept = defaultdict(list)
+        for r in rows:
+            if r["doc_id"] in out:
+                kept[r["lang"]].append(r["kept"])
+        assert len(kept["de"]) >= 5 and all(sum(k) >= 0.85 * len(k) for k in kept.values())
+        bad = [r["kept"] for r in docs.sparkSession.createDataFrame(rows).join(truth.where("quality = 0"), "doc_id").where("lang = 'en'").collect()]
+        assert sum(bad) <= 0.3 * len(bad)
+
+
+def test_quality_leaves_own_counts_out(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"{k}w{j}" for j in range(60)), "en") for k in range(4)], "doc_id long, text string, lang string")
+    marks = lambda ids: spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    marked = lambda ids: quality.flagged(docs, marks(ids).select("doc_id"))
+    ratio = {r["doc_id"]: r["ratio"] for r in quality.quality(docs, marks([0, 1])).collect()}
+    cells = {r["cell"]: (r["good"], r["raw"]) for r in quality.weights(marked([0, 1])).collect()}
+    assert sum(g for g, _ in cells.values()) == pytest.approx(sum(x for _, x in cells.values())) == 2 * 119
+    assert all(r < 0.02 for r in ratio.values())  # no text shares its words with another, so none speaks for itself
+
+
 def test_quality_is_native(spark, data):
     plan = queries.op3_quality_rules(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
