@@ -15,22 +15,30 @@ from prosegauge.llm.common import materialise, table
 from prosegauge.llm.queries import tokenizer_path
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows whose doc_id isn't among the rejected ids; null ids are matched too.  Only ids are shuffled where few are rejected."""
-    ids = materialise(rejected.select(F.col("doc_id").alias("__id")).distinct(), "rejected")
-    bounded = ids.limit(1_000_001).count() <= 1_000_000  # 8 MB of ids at most
-    return docs.join(F.broadcast(ids) if bounded else ids, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __key, a hash of all besides the id that a verdict depends on; with the id it stands for the row."""
+    return docs.withColumn("__key", F.xxhash64(F.col("lang").isNull(), "lang", F.coalesce("text", F.lit(""))))
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows that aren't rejected, by doc_id (null ids are matched too) and __key.  Only keys are shuffled where few are rejected."""
+    rows = materialise(rejected.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__bad")).distinct(), "rejected")
+    bounded = rows.limit(1_000_001).count() <= 1_000_000  # 16 MB of keys at most
+    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["__key"] == F.col("__bad"))
+    return keyed.join(F.broadcast(rows) if bounded else rows, same, "left_anti").drop("__key")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the likelihood ratio reject go."""
-    return _without(docs, quality.quality(docs, table(spark, sf_dir, "labels")).where("not kept"))
+    docs = _keyed(docs)
+    return _without(docs, quality.quality(docs, table(spark, sf_dir, "labels"), keep=("__key",)).where("not kept"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, lexicon).where("predicted = 1"))
+    docs = _keyed(docs)
+    return _without(docs, toxicity.score(docs, lexicon, keep=("__key",)).where("predicted = 1"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -207,8 +207,8 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(b[0], 0.1)), float(b[1])
 
 
-def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted of every document."""
+def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, doc_id, score, predicted of every document."""
 
     @F.pandas_udf("double")
     def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -216,5 +216,5 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
         for texts in parts:
             yield pd.Series([lexicon.score(fold(t), automaton) for t in texts], dtype="float64")
 
-    got = docs.select(F.col(id_col).alias("doc_id"), scores(F.col(text_col)).alias("score"))
+    got = docs.select(*keep, F.col(id_col).alias("doc_id"), scores(F.col(text_col)).alias("score"))
     return got.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -415,3 +415,19 @@ def test_pipeline_odd(spark, odd, none, labels, tmp_path):
         for _, stage in P.STAGES:
             docs = stage(spark, docs, str(tmp_path))
         assert docs.count() >= 0
+
+
+def test_pipeline_rejects_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    clean = [" ".join(f"word{(k * 7 + j * j) % 97}x{j}" for j in range(60)) for k in range(80)]
+    rows = [(k, f"{x} grobnik zlorf" if k % 2 else x, "en", "a", 1) for k, x in enumerate(clean)]
+    odd = [(None, clean[0], "en", "a", 1), (None, "too short", "en", "a", 1), (None, clean[2] + " grobnik zlorf", "en", "a", 1), (1000, clean[4], "en", "a", 1), (1000, "short too", "en", "a", 1), (1000, clean[6] + " grobnik zlorf", "en", "a", 1)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(k, 0, k % 2) for k in range(80)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = P.quality_stage(spark, docs, str(tmp_path)).cache()
+    assert out.columns == docs.columns
+    texts = lambda df, i: sorted(r["text"] for r in df.collect() if r["doc_id"] == i)
+    assert texts(out, None) == sorted([odd[0][1], odd[2][1]]) and texts(out, 1000) == sorted([odd[3][1], odd[5][1]])
+    out = P.toxicity_stage(spark, out, str(tmp_path)).cache()
+    assert texts(out, None) == [odd[0][1]] and texts(out, 1000) == [odd[3][1]]
