@@ -70,6 +70,14 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_full_licences_are_known(spark):
+    whole = ["Apache-2.0", "Artistic-1.0-Perl", "CC0-1.0", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0"]
+    texts = dict(licenses.known_texts())
+    assert all(len(texts[n]) > 5_000 for n in whole)
+    rows = spark.createDataFrame([(n, texts[n].upper().replace("  ", " ")) for n in whole], "doc_id string, text string")
+    assert {r["doc_id"]: r["license_id"] for r in licenses.scan(rows).collect()} == {n: n for n in whole}
+
+
 # 2 mixing
 
 
