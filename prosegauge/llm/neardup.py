@@ -4,10 +4,12 @@ Shingles are five consecutive words, weighted by how often they occur.  Each
 shingle's arrivals form a Poisson process whose rate is its weight; an arrival
 lands in a random register, which keeps the earliest, and a shingle stops as
 soon as its next arrival is later than every register.  Two signatures agree
-in a register with the probability Jaccard similarity of the weighted sets.
+in a register with the probability Jaccard similarity of the weighted sets.  A
+text with repeated shingles has a second signature of weights 1, whose registers
+agree with the plain Jaccard similarity; without repeats both are the same.
 
-Texts equal word for word are one node.  Registers are banded; nodes that agree
-in a band are candidates.  Links need the exact probability Jaccard (or the
+Texts equal word for word are one node.  Registers of both signatures are banded;
+nodes that agree in a band are candidates.  Links need the exact probability Jaccard (or the
 plain one) of the shingles to reach SIMILARITY.  No bucket is expanded into all
 its pairs: (1) every node is checked against the least node of its buckets;
 (2) against the least node of each bucket where both are still in different
@@ -131,18 +133,20 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest (of the words; null if none), signature."""
+    """doc_id, digest (of the words; null if none), signature, plain (of weights 1; null if the same)."""
 
     def run(it):
         for batch in it:
-            digests, signatures = [], []
+            digests, signatures, plain = [], [], []
             for text in batch.column(1):
                 flat = canonical(text.as_py())
                 digests.append(hashlib.md5(flat).digest() if flat else None)
-                signatures.append(prob_min_hash(*shingles(flat)).tobytes() if flat else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "digest", "signature"])
+                h, weight = shingles(flat)
+                signatures.append(prob_min_hash(h, weight).tobytes() if flat else None)
+                plain.append(prob_min_hash(h, np.ones(len(h))).tobytes() if flat and weight.max() > 1 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in (digests, signatures, plain))], names=["doc_id", "digest", "signature", "plain"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, digest binary, signature binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, digest binary, signature binary, plain binary")
 
 
 def node_of(doc_id, digest):
@@ -220,14 +224,16 @@ def _left_over(banded: DataFrame, hubs: DataFrame, labels: DataFrame, signatures
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         i = group["i"].iloc[0]
         one, two = group[group["mine"] == i], group[group["mine"] == group["j"].iloc[0]]
-        s, t = (np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(len(x), -1) for x in (one, two))
+        registers = lambda rows: np.frombuffer(b"".join(rows), np.uint32).reshape(len(rows), -1)
+        s, t = (registers(x["signature"]) for x in (one, two))
+        plain_s, plain_t = (registers([p if isinstance(p, bytes) else w for w, p in zip(x["signature"], x["plain"], strict=True)]) for x in (one, two))
         node, label = two["node"].to_numpy(), two["label"].to_numpy()
         found = []
         for k in range(len(one)):
             n, own = one["node"].iloc[k], one["label"].iloc[k]
             hit = np.flatnonzero((label != own) & (node != n))
             if len(hit):
-                hit = hit[(t[hit] == s[k]).mean(1) >= LIKELY]
+                hit = hit[np.maximum((t[hit] == s[k]).mean(1), (plain_t[hit] == plain_s[k]).mean(1)) >= LIKELY]
                 found += [(min(n, node[h]), max(n, node[h])) for h in hit]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -237,12 +243,14 @@ def _left_over(banded: DataFrame, hubs: DataFrame, labels: DataFrame, signatures
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, copies (rows whose words are the same) for every document."""
     rows = materialise(sketch(docs, id_col, text_col), "near-sketch")
-    copies = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.first("signature").alias("signature"))
-    copies = materialise(copies.select("digest", node_of(F.col("least_id"), F.col("digest")).alias("node"), F.col("n").alias("copies"), "signature"), "near-copies")
-    signatures = copies.groupBy("node").agg(F.first("signature").alias("signature"))
+    copies = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.first(F.struct("signature", "plain")).alias("s"))
+    copies = materialise(copies.select("digest", node_of(F.col("least_id"), F.col("digest")).alias("node"), F.col("n").alias("copies"), "s.signature", "s.plain"), "near-copies")
+    signatures = copies.groupBy("node").agg(F.first(F.struct("signature", "plain")).alias("s")).select("node", "s.signature", "s.plain")
     size = 4 * ROWS
-    cut = F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("signature", k * size + 1, size)) for k in range(BANDS)])).alias("bucket")
-    banded = copies.select("node", cut)
+    bands = lambda name: F.array(*[F.xxhash64(F.lit(k), F.substring(name, k * size + 1, size)) for k in range(BANDS)])
+    # one name space for both: what agrees across them is just verified besides
+    both = F.when(F.col("plain").isNull(), bands("signature")).otherwise(F.array_union(bands("signature"), bands("plain")))
+    banded = copies.select("node", F.explode(both).alias("bucket"))
     hubs = materialise(banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs")
     stars = lookup(banded.join(hubs.select("bucket"), "bucket", "left_semi"), hubs, ["bucket"], "n").where("node <> hub").groupBy("hub", "node").agg(F.count("*").alias("times"))
     stars = materialise(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")), "near-stars")

@@ -316,6 +316,17 @@ def test_near_duplicates(spark, data):
     assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.read.parquet(f"{data}/documents.parquet")).collect()} == brute_classes(real)
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    rows = []
+    for g, times in enumerate((20, 40, 80)):
+        text, line = " ".join(f"t{g}x{j}" for j in range(300)), " ".join(f"line{g}y{j}" for j in range(8))
+        rows += [(2 * g, text), (2 * g + 1, text + f" {line}" * times)]
+    want = brute_classes(rows)
+    assert want == {k: k - k % 2 for k in range(6)}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def test_near_duplicates_odd(spark, odd, none):
     assert neardup.near_duplicates(odd).count() == len(ODD)
     kept = neardup.keep_one(odd)
