@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +21,31 @@ def fit(df: DataFrame, features: list[str], name: str, components: int = 4) -> d
     ok = reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(F.col(f)) for f in features])
     rows = df.select(*[F.col(f).cast("double").alias(f) for f in features]).where(ok)
     moments = rows.agg(F.count("*").alias("n"), *[F.avg(f).alias(f"m{k}") for k, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{k}") for k, f in enumerate(features)]).first()
-    n = moments["n"]
-    if n < 2:
+    if moments["n"] < 2:
         raise ValueError(f"{name}: fewer than two measurable documents")
+    pairs = _pairs(features)
+    cov = rows.agg(*[F.covar_pop(features[i], features[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    return _reference(moments.asDict() | cov.asDict(), features, name, components)
+
+
+def fit_groups(df: DataFrame, features: list[str], by: str, components: int = 4) -> list[dict]:
+    """A reference of each value of a column, all from one aggregate; null values and groups of fewer than two measurable rows or without spread get none."""
+    ok = reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(F.col(f)) for f in features])
+    rows = df.where(F.col(by).isNotNull()).select(by, *[F.col(f).cast("double").alias(f) for f in features]).where(ok)
+    moments = [c for k, f in enumerate(features) for c in (F.avg(f).alias(f"m{k}"), F.stddev_pop(f).alias(f"s{k}"))]
+    cov = [F.covar_pop(features[i], features[j]).alias(f"c{i}_{j}") for i, j in _pairs(features)]
+    found = rows.groupBy(by).agg(F.count("*").alias("n"), *moments, *cov).where("n >= 2").collect()
+    return [_reference(r.asDict(), features, r[by], components) for r in found if any(r[f"s{k}"] > 0 for k in range(len(features)))]
+
+
+def _pairs(features: list[str]) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+
+
+def _reference(moments: dict, features: list[str], name: str, components: int) -> dict:
+    n, cov = moments["n"], moments
     used = [k for k in range(len(features)) if moments[f"s{k}"] > 0]
     pairs = [(i, j) for a, i in enumerate(used) for j in used[a:]]
-    cov = rows.agg(*[F.covar_pop(features[i], features[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     std = np.array([moments[f"s{k}"] for k in used])
     c = np.zeros((len(used), len(used)))
     at = {k: a for a, k in enumerate(used)}
@@ -51,6 +71,28 @@ def distance(ref: dict) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [F.pow(c / s, F.lit(2.0)) for c, s in zip(components(ref), ref["pc_std"], strict=True)]))
 
 
+def nearest(df: DataFrame, features: list[str], refs: list[dict], threshold: float = 3.0) -> DataFrame:
+    """route() without the map of distances, for any number of references: adds cohort, distance, match.  One pass in Arrow batches."""
+    usable = sorted((r for r in refs if all(s > 0 for s in r["pc_std"])), key=lambda r: r["name"])
+
+    def run(it):
+        for batch in it:
+            x = {f: batch.column(f).cast("double").to_numpy(zero_copy_only=False) for f in features}
+            best, cohort = np.full(batch.num_rows, np.inf), np.full(batch.num_rows, None, object)
+            for r in usable:
+                z = np.stack([(x[f] - m) / s for f, m, s in zip(r["features"], r["mean"], r["std"], strict=True)])
+                d = np.sqrt((((np.array(r["loadings"]) @ z) / np.array(r["pc_std"])[:, None]) ** 2).sum(0))
+                closer = d < best  # a null feature gives nan, which is never closer
+                best[closer], cohort[closer] = d[closer], r["name"]
+            far = np.isinf(best)
+            match = np.where(far, "unprojectable", np.where(best <= threshold, "match", "none"))
+            added = [pa.array(cohort, pa.string()), pa.array(best, pa.float64(), mask=far), pa.array(match.tolist(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "cohort", "distance", "match"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    return df.mapInArrow(run, f"{schema}, cohort string, distance double, match string")
+
+
 def route(df: DataFrame, refs: list[dict], threshold: float = 3.0, hint: str | None = None) -> DataFrame:
     """Adds distances (map), cohort, distance, match.  The nearest reference wins, ties by name; a hint fixes the cohort."""
     names = sorted(r["name"] for r in refs)

@@ -95,11 +95,18 @@ def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reference per language fitted on even ids; every document routed to the nearest."""
-    feat = _register(spark, sf_dir).cache()
-    langs = [r[0] for r in feat.select("lang").distinct().orderBy("lang").limit(100).collect()]
-    refs = [reference.fit(feat.where((F.col("doc_id") % 2 == 0) & (F.col("lang") == x)), REGISTER, x) for x in langs]
-    return reference.route(feat, refs).select("doc_id", "lang", "cohort", F.round("distance", 6).alias("distance"), "match")
+    """A reference of every language, fitted on all its documents; every document routed to the nearest.
+
+    A null language and one of fewer than two measurable documents or without
+    spread have no reference; their documents get the nearest of the others and
+    the match "no_reference".
+    """
+    feat = _register(spark, sf_dir).select("doc_id", "lang", *REGISTER).cache()
+    refs = reference.fit_groups(feat, REGISTER, "lang")
+    known = spark.createDataFrame([(r["name"],) for r in refs], "__lang string")
+    found = reference.nearest(feat, REGISTER, refs).join(known, F.col("lang") == F.col("__lang"), "left")
+    match = F.when(F.col("__lang").isNull(), "no_reference").otherwise(F.col("match"))
+    return found.select("doc_id", "lang", "cohort", F.round("distance", 6).alias("distance"), match.alias("match"))
 
 
 def record_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
