@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,11 +44,14 @@ def word_count(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (tests on one machine) a temporary
-    folder is made and remembered for the session.
+    Where none is named, a temporary folder is made and remembered for the
+    session, but on a local master only: on a cluster every executor would
+    write to a disk of its own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("prosegauge.shared.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="prosegauge-")
         spark.conf.set("prosegauge.shared.dir", at)
     return at.rstrip("/")
@@ -59,7 +63,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._written_at = path
+    return kept
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialised tables that no later step reads."""
+    for t in tables:
+        at = getattr(t, "_written_at", None) if isinstance(t, DataFrame) else None
+        if isinstance(at, str):
+            jvm = t.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound the Arrow batches of the session to `most` bytes (Spark's own bound is 64 MB), since whole texts are sent:
+    a batch is held by the JVM and by its Python worker at the same time.  Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "67108864b").lower().rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, heavy: int = 20_000, most: int = 50_000) -> DataFrame:

@@ -407,6 +407,35 @@ def test_bpe(spark, data):
     assert bpe.encode_digests(docs.limit(0), path).count() == 0
 
 
+def test_bpe_on_any_character():
+    """20,000 random texts, half of them of characters that the tables of the engines class otherwise, against the library."""
+    import random
+
+    pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    theirs, ours = Tokenizer.from_file(queries.tokenizer_path()), bpe.BatchedBpe(queries.tokenizer_path())
+    rng = random.Random(5)
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    low, odd, ascii_ = every[:0x3000], [c for c in every if bpe._UNLIKE.match(chr(c)) or bpe._MARKS.match(chr(c))], range(32, 127)
+    texts = []
+    for k in range(20_000):
+        pool = (every, low, odd, ascii_)[k % 4]
+        texts.append("".join(chr(rng.choice(pool if rng.random() < 0.6 else low)) for _ in range(rng.randrange(1, 60))))
+    texts += ["".join(texts[k : k + 40]) + "<|endoftext|>" for k in range(0, 4_000, 40)]
+    for block, stride in ((bpe.BLOCK, bpe.STRIDE), (300, 7)):  # then long texts are cut into parts
+        bpe.BLOCK, kept = block, (bpe.BLOCK, bpe.STRIDE)
+        bpe.STRIDE = stride
+        some = texts if block > 300 else texts[-100:]
+        for at in range(0, len(some), 500):
+            for text, own in zip(some[at : at + 500], ours.encode(some[at : at + 500]), strict=True):
+                parts, want = list(own), theirs.encode(text, add_special_tokens=False).ids
+                assert " ".join(a for a, _ in parts) == " ".join(map(str, want)), repr(text)
+                assert " ".join(b for _, b in parts) == theirs.decode(want, skip_special_tokens=False), repr(text)
+        bpe.BLOCK, bpe.STRIDE = kept
+
+
 # the pipeline
 
 
