@@ -9,20 +9,25 @@ text with repeated shingles has a second signature of weights 1, whose registers
 agree with the plain Jaccard similarity; without repeats both are the same.
 
 Texts equal word for word are one node.  Registers of both signatures are banded;
-nodes that agree in a band are candidates.  Links need the exact probability Jaccard (or the
-plain one) of the shingles to reach SIMILARITY.  No bucket is expanded into all
+nodes that agree in a band are candidates.  Links need the exact probability
+Jaccard (or the plain one) of the shingles to reach SIMILARITY.  No bucket is expanded into all
 its pairs: (1) every node is checked against the least node of its buckets;
 (2) against the least node of each bucket where both are still in different
 classes; (3) what is left in one bucket but different classes is compared in
 blocks by signature, and what may be alike is verified.  As classes are
 connected components, pairs inside one class need no check, so no link between
-different texts is lost to the order or size of a bucket.
+different texts is lost to the order or size of a bucket.  What chance can lose:
+a pair of similarity 0.8 shares no band with a probability of 7e-5, and step 3
+passes over a pair at five standard deviations (3e-7).
+
+A node's number is the least doc_id of its text; texts without an id, and texts
+whose least id another text has too, get one made of their digest.
 
 Defined results: a text of one to four words is one shingle; null and blank
-texts form classes of their own; class_id is the least doc_id of the class;
-rows without a doc_id get a node number from their text; one doc_id with
-several texts joins their classes; repeated rows share a class; an empty table
-gives an empty result; other columns are ignored.
+texts form classes of their own; class_id is the least doc_id of the class, or a
+number made of a digest if the class has no doc_id; rows of one doc_id with
+different texts are nodes of their own; repeated rows share a class; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise
+from .common import discard, lookup, materialise, small_batches, words
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -46,7 +51,7 @@ LIKELY = 0.62
 #: Most numbers of candidate texts (8 bytes each) that are broadcast to pick texts; more are joined by shuffle.
 BROADCAST = 2_000_000
 #: Rows of one side of a block in step 3.
-BLOCK = 1_000
+BLOCK = 4_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -146,12 +151,14 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 plain.append(prob_min_hash(h, np.ones(len(h))).tobytes() if flat and weight.max() > 1 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in (digests, signatures, plain))], names=["doc_id", "digest", "signature", "plain"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, digest binary, signature binary, plain binary")
 
 
-def node_of(doc_id, digest):
-    """The number of a node: its least doc_id, or one made of its digest."""
-    return F.coalesce(doc_id, F.xxhash64(digest))
+def digest_of(text):
+    """The digest of sketch() as a column: MD5 of the words joined by one space, null if there are none."""
+    flat = F.array_join(words(text), " ")
+    return F.when(flat != "", F.unhex(F.md5(flat.cast("binary"))))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -183,25 +190,32 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(links.select("a", "b").where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "near-edges")
     labels = materialise(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "near-labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
+        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        low = labels.select("node", "label").join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         step = materialise(low.join(jump, "low").select("node", F.col("label").alias("old"), F.least("low", "far").alias("label")), "near-labels")
-        labels = step.select("node", "label")
+        discard(labels)
+        labels = step
         if step.where("old <> label").isEmpty():
-            return labels
+            discard(edges)
+            return step
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """Labels after more links between nodes."""
+    """Labels after more links between nodes; links and old labels are discarded."""
     if links.isEmpty():
+        discard(links)
         return labels
     if labels is None:
-        return components(links)
-    top = components(_across(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    moved = labels.join(top.select(F.col("node").alias("label"), F.col("label").alias("x")), "label", "left").select("node", F.coalesce("x", "label").alias("label"))
-    fresh = top.join(labels.select("node"), "node", "left_anti")
-    return materialise(moved.unionByName(fresh), "near-labels")
+        found = components(links)
+    else:
+        top = components(_across(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b"))).select("node", "label")
+        moved = labels.join(top.select(F.col("node").alias("label"), F.col("label").alias("x")), "label", "left").select("node", F.coalesce("x", "label").alias("label"))
+        fresh = top.join(labels.select("node"), "node", "left_anti")
+        found = materialise(moved.unionByName(fresh), "near-labels")
+        discard(labels)
+    discard(links)
+    return found
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -240,12 +254,24 @@ def _left_over(banded: DataFrame, hubs: DataFrame, labels: DataFrame, signatures
     return spread.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, copies (rows whose words are the same) for every document."""
+def _nodes(rows: DataFrame) -> DataFrame:
+    """digest, node, least_id, copies, signature, plain: one row per different text."""
+    copies = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first(F.struct("signature", "plain")).alias("s"))
+    copies = materialise(copies.select("digest", "least_id", "copies", "s.signature", "s.plain"), "near-copies")
+    twice = copies.where("least_id is not null").groupBy("least_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("least_id").alias("twice"))
+    twice = materialise(twice, "near-twice")
+    n, named = twice.limit(BROADCAST + 1).count(), F.col("least_id")
+    if n:  # texts that share their least id are told apart by digest
+        copies = copies.join(F.broadcast(twice) if n <= BROADCAST else twice, F.col("least_id") == F.col("twice"), "left")
+        named = F.when(F.col("twice").isNull(), named)
+    return copies.select("digest", F.coalesce(named, F.xxhash64("digest")).alias("node"), "least_id", "copies", "signature", "plain")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest of every row; digest, class_id, copies, least_id of every different text)."""
     rows = materialise(sketch(docs, id_col, text_col), "near-sketch")
-    copies = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.first(F.struct("signature", "plain")).alias("s"))
-    copies = materialise(copies.select("digest", node_of(F.col("least_id"), F.col("digest")).alias("node"), F.col("n").alias("copies"), "s.signature", "s.plain"), "near-copies")
-    signatures = copies.groupBy("node").agg(F.first(F.struct("signature", "plain")).alias("s")).select("node", "s.signature", "s.plain")
+    copies = _nodes(rows)
+    signatures = copies.select("node", "signature", "plain")
     size = 4 * ROWS
     bands = lambda name: F.array(*[F.xxhash64(F.lit(k), F.substring(name, k * size + 1, size)) for k in range(BANDS)])
     # one name space for both: what agrees across them is just verified besides
@@ -254,39 +280,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = materialise(banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs")
     stars = lookup(banded.join(hubs.select("bucket"), "bucket", "left_semi"), hubs, ["bucket"], "n").where("node <> hub").groupBy("hub", "node").agg(F.count("*").alias("times"))
     stars = materialise(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")), "near-stars")
-    involved = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.withColumn("node", F.coalesce("doc_id", F.xxhash64(F.unhex(F.md5(F.array_join(_words("text"), " ").cast("binary")))))).drop("doc_id")
-    involved = materialise(involved, "near-involved")
-    if involved.limit(BROADCAST + 1).count() <= BROADCAST:  # then only their texts are shuffled, not all
-        involved = F.broadcast(involved)
-    texts = materialise(texts.join(involved, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "near-texts")
+    involved = materialise(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct(), "near-involved")
+    few = involved.limit(BROADCAST + 1).count() <= BROADCAST  # then only their texts are shuffled, not all
+    texts = materialise(_texts(docs, copies.join(F.broadcast(involved) if few else involved, "node", "left_semi"), id_col, text_col, few), "near-texts")
 
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     labels = _relabel(None, _verified(first, texts, least))
-    if labels is None:
-        labels = docs.sparkSession.createDataFrame([], "node long, label long")
-    more = _across(stars.join(first, ["a", "b"], "left_anti"), labels).where("la <> lb").select("a", "b")
+    none = docs.sparkSession.createDataFrame([], "node long, label long")
+    more = _across(stars.join(first, ["a", "b"], "left_anti"), none if labels is None else labels).where("la <> lb").select("a", "b")
     labels = _relabel(labels, _verified(more, texts, least))
-    rest = _left_over(banded, hubs, labels, signatures)
+    rest = _left_over(banded, hubs, none if labels is None else labels, signatures)
     labels = _relabel(labels, _verified(rest, texts, least))
+    labels = none if labels is None else labels
+    discard(stars, involved, texts, hubs)
+
+    # the least number of a class is its least doc_id unless a node of it is named by digest
+    made = copies.where("not (least_id <=> node)").select("node")
+    heads = labels.select("node", "label").join(made, "node", "left_semi").select("label").distinct()
+    ids = labels.select("node", "label").join(heads, "label", "left_semi").join(copies.where("least_id <=> node").select("node"), "node").groupBy("label").agg(F.min("node").alias("head"))
+    ids = materialise(ids, "near-heads")
+    named = copies.select("digest", "node", "least_id", "copies").join(labels.select("node", "label"), "node", "left")
+    if not ids.isEmpty():
+        named = named.join(ids, "label", "left").withColumn("label", F.coalesce("head", "label"))
+    return rows.select("doc_id", "digest"), named.select("digest", F.coalesce("label", "node").alias("class_id"), "copies", "least_id")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, few: bool) -> DataFrame:
+    """node, text of the wanted nodes.  A node named by id is found by id and its digest is looked at then only; the others are found by digest."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    part = lambda made: (F.broadcast if few else lambda x: x)(wanted.where(~made).select("node", F.col("digest").alias("d")))
+    plain = F.coalesce(F.col("least_id") == F.col("node"), F.lit(False))
+    found = rows.join(part(~plain), F.col("doc_id") == F.col("node")).where(digest_of(F.col("text")) == F.col("d"))
+    if not wanted.where(~plain).isEmpty():
+        other = rows.withColumn("own", digest_of(F.col("text")))
+        found = found.select("node", "text").unionByName(other.join(part(plain), F.col("own") == F.col("d")).select("node", "text"))
+    return found.groupBy("node").agg(F.min("text").alias("text"))
 
-    named = copies.select("digest", "node", "copies").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"), "copies", F.col("copies").alias("weight"))
-    full = lookup(rows.select("doc_id", "digest"), named, ["digest"], "weight")
-    return full.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
-
-
-def _words(name: str):
-    from .common import words
 
-    return words(F.col(name))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, copies (rows whose words are the same) for every document."""
+    rows, named = _classes(docs, id_col, text_col, least)
+    full = lookup(rows, named.select("digest", "class_id", "copies", F.col("copies").alias("weight")), ["digest"], "weight")
+    return full.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The documents with one row per class: that of the least doc_id.  Blank texts are classes of their own and all stay."""
-    classes = near_duplicates(docs, id_col, text_col, least)
-    heads = classes.where("class_id is not null").select(F.col("class_id").alias("__node")).distinct()
-    blank = F.size(F.col("__w")) == 0
-    keyed = docs.withColumn("__w", F.slice(_words(text_col), 1, 1)).withColumn("__node", F.when(F.col(id_col).isNotNull(), F.col(id_col).cast("long")).otherwise(F.xxhash64(F.unhex(F.md5(F.array_join(_words(text_col), " ").cast("binary"))))))
-    kept = keyed.where(~blank).join(heads, "__node", "left_semi").dropDuplicates(["__node"])
-    return kept.unionByName(keyed.where(blank)).select(*docs.columns)
+    """The documents with one row per class: that of the least doc_id, ties by digest.  Blank texts are classes of their own and all stay.
+
+    Rows are told by id and digest.  Those that go are broadcast if they are at
+    most BROADCAST, so that no text is shuffled; of a row that repeats, copies
+    are dropped after being combined where they lie.
+    """
+    rows, named = _classes(docs, id_col, text_col, least)
+    first = F.min(F.struct(F.col("least_id").isNull(), F.col("least_id"), F.col("digest")))
+    heads = named.groupBy("class_id").agg(first.alias("h")).select(F.col("h.least_id").alias("head"), F.col("h.digest").alias("digest"))
+    # one head at most for each text, so joining by digest after counting equal rows is safe for hot texts
+    counted = rows.where("digest is not null").groupBy("digest", "doc_id").agg(F.count("*").alias("n")).join(heads.withColumn("is_head", F.lit(True)), "digest", "left")
+    stays = F.coalesce(F.col("is_head") & F.col("doc_id").eqNullSafe(F.col("head")), F.lit(False))
+    told = materialise(counted.withColumn("stays", stays).where("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "stays"), "near-told")
+    few = told.limit(BROADCAST + 1).count() <= BROADCAST
+
+    def matched(side: DataFrame, how: str) -> DataFrame:
+        own = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+        if few:
+            return docs.join(F.broadcast(side), own & (digest_of(F.col(text_col)) == F.col("__d")), how)
+        return docs.withColumn("__digest", digest_of(F.col(text_col))).join(side, own & (F.col("__digest") == F.col("__d")), how).drop("__digest")
+
+    kept = matched(told.select("__id", "__d"), "left_anti")
+    again = told.where("stays").select("__id", "__d")
+    if again.isEmpty():
+        return kept
+    once = matched(again, "left_semi").withColumn("__digest", digest_of(F.col(text_col))).dropDuplicates([id_col, "__digest"]).drop("__digest")
+    return kept.unionByName(once)
