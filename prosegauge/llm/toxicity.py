@@ -6,7 +6,9 @@ with dots or dashes become plain lower-case letters, so an evasive spelling
 meets the same entry.  Accents stay, since they tell words apart.  Entries are whole words
 and word beginnings (inflected insults share their beginning), each with a
 weight learned as a smoothed log-odds of labelled texts.  Matches inside
-exception phrases don't count.  The sum of weights, normalised by length, and
+exception phrases don't count: those of EXCEPTIONS, and pairs of a matched word
+and its neighbour that at least SPARED clean labelled texts and no toxic one
+hold.  The sum of weights, normalised by length, and
 its calibration give a score from 0 to 1.
 
 The lexicon is fitted on at most SAMPLE labelled rows outside the held-out
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable
 from typing import Iterator
 
@@ -31,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, materialise, small_batches
 
 SAMPLE = 8_000
 ENTRIES = 4_000
@@ -40,11 +43,21 @@ PREFIXES = (4, 5, 6, 7)
 _LOOKALIKE = dict(zip("аеорсухіјѕԁԛԝһӏαορτυνικωвкмт", "aeopcyxijsdqwhlaoptuvikwbkmt", strict=True))
 _FOLD_LETTERS = {ord(k): v for k, v in _LOOKALIKE.items()} | dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _ODD = re.compile("[\xad\u200b-\u200d\u2060\ufeff\u0370-\u052f]")
-_FOREIGN = re.compile(r"[^\W\d_]*[a-z\xdf-\xff][\u0370-\u052f][^\W\d_]*|[\u0370-\u052f]+[a-z\xdf-\xff][^\W\d_]*")
+_MIXED = re.compile(r"[a-z\xdf-\xff][\u0370-\u052f]|[\u0370-\u052f][a-z\xdf-\xff]|[\u0370-\u03ff][\u0400-\u052f]|[\u0400-\u052f][\u0370-\u03ff]")
+_ALIKE = re.compile(f"[{''.join(_LOOKALIKE)}]+")
+_LATIN = re.compile(r"[a-z\xdf-\xff]")
 _DIGITS = dict(zip("0134578@$!|+€", "oieastbasilte", strict=True))
-_STANDS = re.compile(r"[013-578@$!|+€]+(?=[^\W\d_])|(?<=[^\W\d_])[013-578]+(?![\d])")
+#: Runs of stand-ins beside a letter; a run is tried once, from its beginning.
+_STANDS = re.compile(r"(?<![013-578@$!|+€])[013-578@$!|+€]++(?=[^\W\d_])|(?<=[^\W\d_])[013-578]++(?![\d])")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*][^\W\d_]){2,}(?![^\W_])")
 _WORDS = re.compile(r"[^\W\d_]+")
+_OTHERS = re.compile("[\u0370-\u052f]")
+#: Phrases in which a word of insult is none, whatever the labels say.
+EXCEPTIONS = ("pond scum", "soap scum", "killer whale", "killer app", "kill switch", "kill time", "kill the process", "trash can", "trash bin", "garbage collection", "garbage collector", "garbage truck", "dumb terminal", "dumb bell", "village idiot", "idiot proof", "the idiot by", "guinea pig", "piggy bank", "rat race", "lab rat", "snake case", "crash test dummy", "dummy variable", "dummy text", "cheap skate", "fool proof", "april fool", "scunthorpe united", "moby dick", "cock a leekie", "cocktail", "bitch of the pack", "jackass penguin")
+#: Clean labelled texts that must hold a pair of words around an entry, none of them toxic, for the pair to be an exception; and most pairs learned.
+SPARED = 3
+_BEFORE, _AFTER = re.compile(r"(?<!\w)(\w+)\s\Z"), re.compile(r"\s(\w+)(?!\w)")
+PHRASES = 1_000
 
 
 def fold(text: str | None) -> str:
@@ -55,7 +68,9 @@ def fold(text: str | None) -> str:
         text = unicodedata.normalize("NFKC", text).lower()
         if _ODD.search(text):
             text = text.translate(dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]))
-            text = _FOREIGN.sub(lambda m: m[0].translate(_FOLD_LETTERS), text)  # words that mix alphabets
+            # words that mix alphabets, and in a text of Latin letters also words wholly of look-alikes
+            latin = len(_LATIN.findall(text)) > 4 * len(_OTHERS.findall(text))
+            text = _WORDS.sub(lambda m: m[0].translate(_FOLD_LETTERS) if _MIXED.search(m[0]) or latin and _ALIKE.fullmatch(m[0]) else m[0], text)
     else:
         text = text.lower()
     text = _STANDS.sub(lambda m: "".join(map(_DIGITS.__getitem__, m[0])), text)
@@ -84,12 +99,10 @@ class Lexicon:
         return a
 
     def matches(self, folded: str, automaton) -> dict[int, list[tuple[float, tuple[str, bool]]]]:
-        """Start of each matched word -> its (weight, entry) pairs, outside exception phrases."""
+        """Start of each matched word -> its (weight, entry) pairs, outside exception phrases, of a folded text with single blanks."""
         out: dict[int, list[tuple[float, tuple[str, bool]]]] = {}
         if not folded or not len(automaton):
             return out
-        if self.exceptions:
-            folded = " ".join(folded.split())
         spared: list[tuple[int, int]] = []
         size = len(folded)
         for end, (text, whole, begins, spares) in automaton.iter(folded):
@@ -111,6 +124,7 @@ class Lexicon:
         return math.log1p(total) - 0.25 * math.log1p(total / 100 + blanks / 100) if total else 0.0
 
     def score(self, folded: str, automaton) -> float:
+        folded = " ".join(folded.split())
         total = sum(max(w)[0] for w in self.matches(folded, automaton).values())
         x = self.feature(total, folded.count(" "))
         return 1 / (1 + math.exp(-min(50.0, self.slope * x + self.bias))) if x > 0 else 0.0
@@ -135,10 +149,21 @@ def _features(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = (), limit: int = SAMPLE, most: int = ENTRIES, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """Learn the lexicon and its calibration from labelled rows outside the held-out third."""
-    from .common import materialise
+def _pairs(folded: str, starts: Iterable[int]) -> set[str]:
+    """The matched words with the word before and with the word after, each pair written with one blank."""
+    out = set()
+    for start in starts:
+        end = next((k for k in range(start, len(folded)) if not folded[k].isalnum()), len(folded))
+        word = folded[start:end]
+        before, after = _BEFORE.search(folded, max(0, start - 60), start), _AFTER.match(folded, end, end + 60)
+        out.update([f"{before[1]} {word}"] if before else [])
+        out.update([f"{word} {after[1]}"] if after else [])
+    return out
+
 
+def fit(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPTIONS, limit: int = SAMPLE, most: int = ENTRIES, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+    """Learn the lexicon and its calibration from labelled rows outside the held-out third."""
+    small_batches(docs.sparkSession)
     sample = materialise(_sample(docs, labels, limit, id_col, text_col), "tox-sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
@@ -161,9 +186,18 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = (), limi
     lexicon = Lexicon(kept, exceptions)
     auto = lexicon.automaton()
     seen = []
+    clean, spoiled = Counter(), set()
     for row in sample.select("text", "toxic").toLocalIterator():  # at most `limit` rows, one partition at a time
-        folded = fold(row["text"])
-        seen.append((row["toxic"], folded.count(" "), list(lexicon.matches(folded, auto).values())))
+        folded = " ".join(fold(row["text"]).split())
+        hits = lexicon.matches(folded, auto)
+        at = {start: _pairs(folded, [start]) for start in hits}
+        pairs = set().union(*at.values())
+        spoiled.update(pairs) if row["toxic"] else clean.update(pairs)
+        seen.append((row["toxic"], folded.count(" "), [(at[start], found) for start, found in hits.items()]))
+    learned = sorted((p for p, n in clean.items() if n >= SPARED and p not in spoiled), key=lambda p: (-clean[p], p))[:PHRASES]
+    lexicon.exceptions = sorted({*lexicon.exceptions, *learned})
+    spared = set(learned)
+    seen = [(toxic, blanks, [found for pairs, found in hits if not pairs & spared]) for toxic, blanks, hits in seen]
     lexicon.entries = cover(kept, [[e for at in hits for _, e in at] for y, _, hits in seen if y])
     x, y = [], []
     for toxic, blanks, hits in seen:
@@ -209,6 +243,7 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """keep, doc_id, score, predicted of every document."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
