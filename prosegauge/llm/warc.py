@@ -4,14 +4,15 @@ Writing: every task writes its rows as records (a gzip member each) to a file of
 its own in the shared folder and returns one index row per record: file, offset,
 length, url, digest.  Names are unique per attempt, and only index rows of
 attempts that succeeded are kept, so a lost executor leaves at most a file that
-nothing points to.  Of equal payloads the one with the least id is a response,
-the others are revisit records that refer to it.
+nothing points to.  Of equal payloads the row with the least id (then the least
+url) is a response, the others are revisit records that refer to it.  Rows equal
+to it in id and url, too, are counted where they lie: one of them is the response.
 
 Reading: index rows are chosen first; per file and stretch they are sorted by
 offset, and ranges with small gaps are read in one go.
 
-Defined results: a null page has an empty payload; rows that repeat the least id
-of their payload are responses too; rows without an id refer to the least known
+Defined results: a null page has an empty payload; of rows that repeat the least
+id of their payload one is the response, the others revisit that id; rows without an id refer to the least known
 id of their payload, or are responses if there is none; urls are written with
 control characters and blanks percent-encoded, a null one as `about:blank`; an
 empty table writes nothing; other columns are ignored.
@@ -31,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, shared_dir
+from .common import lookup, materialise, shared_dir, small_batches
 
 GAP = 64 * 1024
 MOST = 8 * 1024 * 1024
@@ -80,17 +81,30 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 def _roles(pages: DataFrame) -> DataFrame:
     """page_id, url, html with refers_to: null for responses."""
     rows = pages.withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    twice = rows.groupBy("sha").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    alike = rows.where("page_id is not null").groupBy("sha", "page_id", "url").agg(F.count("*").alias("n"))
+    # the least row of each payload: by id, then by url, null last
+    least = alike.groupBy("sha").agg(F.min(F.struct("page_id", F.col("url").isNull().alias("no_url"), "url", "n")).alias("l"), F.sum("n").alias("known"))
+    total = rows.groupBy("sha").agg(F.count("*").alias("n"))
+    twice = total.where("n > 1").join(least, "sha").select("sha", F.col("l.page_id").alias("least"), F.col("l.url").alias("least_url"), F.col("l.n").alias("same"), "n")
     twice = materialise(twice, "warc-twice")
     if twice.limit(BROADCAST + 1).count() <= BROADCAST:
         told = rows.join(F.broadcast(twice.drop("n")), "sha", "left")
     else:
         told = lookup(rows, twice, ["sha"], "n")
-    return told.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")).alias("refers_to"))
+    first = F.coalesce((F.col("page_id") == F.col("least")) & F.col("url").eqNullSafe(F.col("least_url")), F.lit(False))
+    out = ["page_id", "url", "html", "refers_to"]
+    told = told.withColumn("refers_to", F.when(~first, F.col("least")))
+    if twice.where("same > 1").isEmpty():
+        return told.select(*out)
+    repeats = first & (F.col("same") > 1)
+    one = told.where(repeats).groupBy("sha", "page_id", "url").agg(F.first("html").alias("html"), F.count("*").alias("c"))
+    one = one.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c")))).withColumn("refers_to", F.when(F.col("i") > 1, F.col("page_id")))
+    return told.where(~F.coalesce(repeats, F.lit(False))).select(*out).unionByName(one.select(*out))
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
     """Write the archives and return their index, itself a written table."""
+    small_batches(pages.sparkSession)
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
 
