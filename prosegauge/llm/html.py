@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as references
 import math
 import re
+from collections import Counter
 from typing import Iterator
 
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lookup, materialise
+from .common import lookup, materialise, small_batches
 
 #: Most winning paths that are broadcast; more are joined by shuffle.
 BROADCAST = 100_000
@@ -67,13 +68,55 @@ def _drop(tag: str, at: dict[str, str]) -> bool:
 
 
 def _step(tag: str, at: dict[str, str]) -> str:
-    names = sorted({re.sub(r"\d+", "#", c) for c in at.get("class", "").split()})
+    names = sorted({re.sub(r"\d+", "#", c.replace(">", "")) for c in at.get("class", "").split()})
     return ".".join([tag, *names])
 
 
-def blocks(page: str | None) -> Iterator[tuple[list[str], str, int]]:
-    """(paths of the enclosing containers, outermost first; text with references decoded; characters inside links) of each block outside furniture."""
-    stack: list[tuple[str, bool, str]] = []  # tag, furniture, path ("" unless a container)
+class Boxes:
+    """The containers of a page in order of their beginning: each one's parent (-1 for none), tag, and number of its path.
+
+    Paths are interned as (number of the parent's path, step), so deep nesting
+    costs no more than its tags.
+    """
+
+    def __init__(self):
+        self.parent: list[int] = []
+        self.tag: list[str] = []
+        self.path: list[int] = []
+        self.number: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = []
+
+    def add(self, parent: int, tag: str, step: str) -> int:
+        key = (self.path[parent] if parent >= 0 else -1, step)
+        at = self.number.setdefault(key, len(self.steps))
+        if at == len(self.steps):
+            self.steps.append(key)
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.path.append(at)
+        return len(self.parent) - 1
+
+    def name(self, at: int) -> str:
+        steps = []
+        while at >= 0:
+            at, step = self.steps[at]
+            steps.append(step)
+        return ">".join(reversed(steps))
+
+    def find(self, path: str) -> int:
+        """The number of a path, -1 if the page has none."""
+        at = -1
+        for step in path.split(">"):
+            at = self.number.get((at, step), -2)
+            if at == -2:
+                return -1
+        return at
+
+
+def blocks(page: str | None, boxes: Boxes) -> Iterator[tuple[int, str, int]]:
+    """(innermost container, -1 for none; text with references decoded; characters inside links) of each block outside furniture."""
+    stack: list[tuple[str, bool, int]] = []  # tag, furniture, container around what follows
+    opened: Counter = Counter()
     dropped = links = 0
     text: list[str] = []
     linked, at = 0, 0
@@ -84,11 +127,12 @@ def blocks(page: str | None) -> Iterator[tuple[list[str], str, int]]:
         joined = " ".join(references.unescape("".join(text)).split())
         text.clear()
         n, linked = linked, 0
-        return ([s[2] for s in stack if s[2]], joined, n) if joined else None
+        return (stack[-1][2] if stack else -1, joined, n) if joined else None
 
     def pop() -> None:
         nonlocal dropped, links
         tag, furniture, _ = stack.pop()
+        opened[tag] -= 1
         dropped -= furniture
         links -= tag == "a"
 
@@ -105,7 +149,7 @@ def blocks(page: str | None) -> Iterator[tuple[list[str], str, int]]:
         if block and (got := flush()):
             yield got
         if m[2]:
-            if any(s[0] == tag for s in stack):
+            if opened[tag]:
                 # an end tag inside a container doesn't close what lies outside it
                 if not block:
                     for k in range(len(stack) - 1, -1, -1):
@@ -141,9 +185,9 @@ def blocks(page: str | None) -> Iterator[tuple[list[str], str, int]]:
             continue
         attributes = _attributes(m[4])
         furniture = _drop(tag, attributes)
-        box = tag in _BOXES
-        above = next((s[2] for s in reversed(stack) if s[2]), "")
-        stack.append((tag, furniture, (above + ">" if above else "") + _step(tag, attributes) if box else ""))
+        above = stack[-1][2] if stack else -1
+        stack.append((tag, furniture, boxes.add(above, tag, _step(tag, attributes)) if tag in _BOXES else above))
+        opened[tag] += 1
         dropped += furniture
         links += tag == "a"
     if at < len(page) and not dropped:
@@ -152,30 +196,69 @@ def blocks(page: str | None) -> Iterator[tuple[list[str], str, int]]:
         yield got
 
 
-def votes(page: str | None) -> tuple[str, float] | None:
-    """The path of the page's best container and the weight of its vote."""
-    score: dict[str, float] = {}
-    for paths, text, linked in blocks(page):
-        own = max(0, len(text) - 2 * linked) * (1.0 if len(text) > 40 else 0.4)
-        for depth, path in enumerate(reversed(paths)):
-            tag = path.rpartition(">")[2].partition(".")[0]
-            share = (1.0, 0.9, 0.5, 0.25)[min(depth, 3)] if tag not in ("article", "main") else 1.25
-            if tag in ("li", "ul", "ol", "dl", "dd", "table", "tbody", "tr", "blockquote", "figure", "details"):
-                share *= 0.5
-            score[path] = score.get(path, 0.0) + own * share
+_SHARES = (1.0, 0.9, 0.5, 0.25)
+_LOW = frozenset("li ul ol dl dd table tbody tr blockquote figure details".split())
+
+
+def best(boxes: Boxes, found: list[tuple[int, str, int]]) -> tuple[int, float] | None:
+    """The number of the path whose containers score best, and its score.
+
+    A block's text counts for its container and those around it, less with
+    every level; sums per level are handed up once, so depth costs nothing.
+    """
+    n = len(boxes.parent)
+    sums = [[0.0] * n for _ in _SHARES]  # text by how many levels below the container it lies, the last for all deeper
+    seen = [False] * n
+    for at, text, linked in found:
+        if at >= 0:
+            sums[0][at] += max(0, len(text) - 2 * linked) * (1.0 if len(text) > 40 else 0.4)
+            seen[at] = True
+    for at in range(n - 1, -1, -1):
+        up = boxes.parent[at]
+        if up >= 0 and seen[at]:
+            seen[up] = True
+            sums[1][up] += sums[0][at]
+            sums[2][up] += sums[1][at]
+            sums[3][up] += sums[2][at] + sums[3][at]
+    score: dict[int, float] = {}
+    for at in range(n):
+        if seen[at]:
+            tag = boxes.tag[at]
+            if tag in ("article", "main"):
+                own = 1.25 * (sums[0][at] + sums[1][at] + sums[2][at] + sums[3][at])
+            else:
+                own = sum(share * level[at] for share, level in zip(_SHARES, sums, strict=True)) * (0.5 if tag in _LOW else 1.0)
+            score[boxes.path[at]] = score.get(boxes.path[at], 0.0) + own
     if not score:
         return None
-    best = max(score, key=lambda p: (round(score[p], 3), [-ord(c) for c in p]))
-    return best, math.log1p(score[best])
+    top = max(round(v, 3) for v in score.values())
+    at = min((p for p, v in score.items() if round(v, 3) == top), key=boxes.name)
+    return at, score[at]
+
+
+def votes(page: str | None) -> tuple[str, float] | None:
+    """The path of the page's best container and the weight of its vote."""
+    boxes = Boxes()
+    own = best(boxes, list(blocks(page, boxes)))
+    return (boxes.name(own[0]), math.log1p(own[1])) if own else None
 
 
 def extract(page: str | None, path: str | None) -> str:
     """The text inside containers of that path, or of the page's own best one."""
-    found = list(blocks(page))
-    inside = [t for paths, t, _ in found if path in paths] if path else []
+    boxes = Boxes()
+    found = list(blocks(page, boxes))
+
+    def within(wanted: int) -> list[str]:
+        inside = []
+        for parent, own in zip(boxes.parent, boxes.path, strict=True):
+            inside.append(own == wanted or parent >= 0 and inside[parent])
+        return [text for at, text, _ in found if at >= 0 and inside[at]]
+
+    wanted = boxes.find(path) if path else -1
+    inside = within(wanted) if wanted >= 0 else []
     if not inside:
-        own = votes(page)
-        inside = [t for paths, t, _ in found if own[0] in paths] if own else [t for _, t, _ in found]
+        own = best(boxes, found)
+        inside = within(own[0]) if own else [text for _, text, _ in found]
     return " ".join(inside)
 
 
@@ -202,6 +285,7 @@ def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, path (the host's) of every page."""
+    small_batches(pages.sparkSession)
     winners = materialise(consensus(pages, url_col, html_col), "html-paths")
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
     if winners.limit(BROADCAST + 1).count() <= BROADCAST:
