@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise
+from .common import held_out, materialise, small_batches
 
 SAMPLE = 1_500
 GRAMS = 3_000
@@ -128,18 +128,20 @@ class Filters:
 def _sample(docs: DataFrame, limit: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """lang, text of at most `limit` training rows per language, by hash, without a sort of any language.
 
-    The share to keep follows from the language's count; a further exact limit
-    is not needed, since the hash is uniform over ids.
+    The share to keep follows from the language's count, and the hash is uniform
+    over ids and texts; of rows that repeat both, one is used.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     rows = rows.where(~held_out(F.col("id")))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    place = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 20)) / float(1 << 20)
-    return rows.join(F.broadcast(counts), "lang").where(place < F.lit(float(limit)) / F.col("n")).select("lang", "text")
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    some = rows.join(F.broadcast(counts), "lang").where(place < F.lit(float(limit)) / F.col("n"))
+    return some.groupBy("lang", "id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def fit(docs: DataFrame, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Learn the filters: per language and length, the n-grams with the highest count, weighed against the other languages."""
+    small_batches(docs.sparkSession)
     sample = materialise(_sample(docs, limit, id_col, text_col, lang_col), "lang-sample")
 
     def count(parts: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -165,6 +167,7 @@ def fit(docs: DataFrame, limit: int = SAMPLE, id_col: str = "doc_id", text_col:
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(filters)  # lengths x 2**BITS masks: a fixed size per 64 languages
 
     @F.pandas_udf("lang_pred string, score double")
