@@ -1,18 +1,21 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
-Vectors are sharded by a hash of their id, SHARD rows each.  A shard's graph is
-built in numpy by inserting blocks of nodes: a beam search over the nodes so far
-(for many nodes at once), a diversity rule for the links, and pruned back links.
-Largest inner product becomes nearest neighbour by one more component that makes
-all norms equal.  A shard is stored as one row of flat arrays (ids, vectors,
-levels, neighbours), so a lost executor rereads it and builds nothing again.
-Queries, in blocks, search every shard; the shards' results are merged.
+Rows are sharded by a hash, SHARD rows each.  A shard's graph is built in numpy
+over its different vectors by inserting blocks of nodes: a beam search over the
+nodes so far (for many nodes at once), a diversity rule for the links, and pruned
+back links.  Largest inner product becomes nearest neighbour by one more
+component that makes all norms equal.  A shard is stored as one row of flat
+arrays (ids, vectors, levels, neighbours), so a lost executor rereads it and
+builds nothing again.  Queries, in blocks, search every shard; the shards'
+results are merged.  Rows of equal vectors hang on one node, so that copies,
+however many, neither crowd the graph nor are lost.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without an id, take no part; only vectors of a query's
-length are its candidates; rows of equal id are one item (one of them is used)
-and a query is never its own result; ties go to the smaller id; an empty table
-gives an empty result; other columns are ignored.
+length are its candidates; every row is a candidate, also where ids repeat, but
+for one row equal to the query in id and vector, its own; a query row that
+repeats is answered as often; ties go to the smaller id; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import discard, materialise, small_batches
 
-SHARD = 8_192
+#: Rows of a shard: about 16 MB of vectors of 64 components and their links.
+SHARD = 16_384
 LINKS = 16
 BUILD = 64
 SEARCH = 160
-QUERY_BLOCK = 4_096
+#: Queries sent to a shard at once; a graph is read once for each block.
+QUERY_BLOCK = 32_768
 
 
 def levels(ids: np.ndarray, links: int = LINKS) -> np.ndarray:
@@ -188,47 +193,80 @@ def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") ->
     return rows.where(~bad & F.exists(v, lambda e: e != 0)).withColumn("dim", F.size("v"))
 
 
+def grouped(v: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids in order of their vectors, first place of each different vector and the end, those vectors)."""
+    kind = np.ascontiguousarray(v + 0.0).view([("", np.void, 8 * v.shape[1])]).ravel()  # -0.0 is 0.0
+    _, group = np.unique(kind, return_inverse=True)
+    order = np.lexsort((ids, group))
+    first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+    return ids[order], np.r_[first, len(ids)], v[order[first]]
+
+
 def build(rows: DataFrame, shard: int = SHARD) -> DataFrame:
-    """One row per shard: dim, shard, ids, vectors (little-endian doubles), head, neighbours."""
+    """One row per shard: dim, shard, ids and the first place of each vector's (int64), different vectors (little-endian doubles), head, neighbours.
+
+    rows: vec_id, v, dim and row, a number of its own for every row.
+    """
     n = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    keyed = rows.join(F.broadcast(n), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    keyed = rows.join(F.broadcast(n), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "row"), F.col("shards")).cast("int"))
 
     def make(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id", kind="stable").drop_duplicates("vec_id")
-        ids, v = group["vec_id"].to_numpy(), np.array(group["v"].tolist(), np.float64)
-        head, flat = Graph(v, ids).flat()
-        return pd.DataFrame({"dim": [v.shape[1]], "shard": [group["shard"].iloc[0]], "ids": [ids.astype(np.int64).tobytes()], "vectors": [v.tobytes()], "head": [head], "neighbours": [flat]})
+        ids, first, v = grouped(np.array(group["v"].tolist(), np.float64), group["vec_id"].to_numpy())
+        head, flat = Graph(v, ids[first[:-1]]).flat()
+        return pd.DataFrame({"dim": [v.shape[1]], "shard": [group["shard"].iloc[0]], "ids": [ids.astype(np.int64).tobytes()], "first": [first.astype(np.int64).tobytes()], "vectors": [v.tobytes()], "head": [head], "neighbours": [flat]})
+
+    return keyed.select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").applyInPandas(make, "dim int, shard int, ids binary, first binary, vectors binary, head binary, neighbours binary")
+
 
-    return keyed.select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").applyInPandas(make, "dim int, shard int, ids binary, vectors binary, head binary, neighbours binary")
+def _expand(found: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of found, place among the ids): the first `most` rows of each vector found."""
+    a, b = np.nonzero(found >= 0)
+    node = found[a, b]
+    size = np.minimum(first[node + 1] - first[node], most)
+    start = np.repeat(first[node], size)
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(a, size), start + inside
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, ef: int = SEARCH) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found for each query row."""
-    rows = usable(df, id_col, vec_col)
+    small_batches(df.sparkSession, 16 << 20)
+    # written, so that the numbers of rows stay as they are
+    rows = materialise(usable(df, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "ann-rows")
     graphs = materialise(build(rows, shard), "ann-graphs")
-    asked = usable(queries, id_col, vec_col).dropDuplicates(["vec_id"])
+    discard(rows)
+    asked = materialise(usable(queries, id_col, vec_col).withColumn("query", F.monotonically_increasing_id()), "ann-queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "query"), F.lit(blocks)).cast("int"))
     shards = graphs.groupBy("dim").agg((F.max("shard") + 1).alias("shards"))
-    sent = asked.join(F.broadcast(shards), "dim").select("dim", "block", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    sent = asked.join(F.broadcast(shards), "dim").select("dim", "block", "query", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     stored = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["dim", "shard", "block"]
+    names = ["query", "query_id", "vec_id", "score", "own"]
 
     def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(q) or not len(g):
-            return empty
-        row = g.iloc[0]
-        ids, v = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, int(row["dim"]))
-        asked_v, asked_id = np.array(q["v"].tolist(), np.float64), q["vec_id"].to_numpy()
-        _, found = search(v, row["head"], row["neighbours"], asked_v, max(ef, k + 1))
-        a, b = np.nonzero(found >= 0)
-        at = found[a, b]
-        score = np.concatenate([np.einsum("kd,kd->k", asked_v[a[s : s + 65536]], v[at[s : s + 65536]]) for s in range(0, len(a), 65536)] or [np.zeros(0)])
-        out = pd.DataFrame({"query_id": asked_id[a], "vec_id": ids[at], "score": score})
-        out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-        return out.groupby("query_id", sort=False).head(k)
-
-    found = sent.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0), "own": np.zeros(0, bool)})
+        stored = g.iloc[0]
+        ids, first = np.frombuffer(stored["ids"], np.int64), np.frombuffer(stored["first"], np.int64)
+        v = np.frombuffer(stored["vectors"], np.float64).reshape(-1, int(stored["dim"]))
+        node = np.repeat(np.arange(len(v)), np.diff(first))
+        parts = []
+        for low in range(0, len(q), 1024):
+            some = q.iloc[low : low + 1024]
+            asked_v, asked_id, number = np.array(some["v"].tolist(), np.float64), some["vec_id"].to_numpy(), some["query"].to_numpy()
+            _, found = search(v, stored["head"], stored["neighbours"], asked_v, max(ef, k + 1))
+            a, at = _expand(found, first, k + 1)
+            score = np.concatenate([np.einsum("kd,kd->k", asked_v[a[s : s + 65536]], v[node[at[s : s + 65536]]]) for s in range(0, len(a), 65536)] or [np.zeros(0)])
+            own = (asked_id[a] == ids[at]) & (asked_v[a] == v[node[at]]).all(1)
+            out = pd.DataFrame(dict(zip(names, (number[a], asked_id[a], ids[at], score, own), strict=True)))
+            out = out.sort_values(["query", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+            parts.append(out[out["own"] | (out.groupby(["query", "own"], sort=False).cumcount() < k)])
+        return pd.concat(parts)
+
+    found = sent.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(run, "query long, query_id long, vec_id long, score double, own boolean")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    owned = F.sum(F.col("own").cast("int")).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # the first row equal to the query is its own and leaves the ranks
+    found = found.withColumn("owned", owned).withColumn("rank", F.row_number().over(best) - F.least("owned", F.lit(1)))
+    return found.where(~(F.col("own") & (F.col("owned") == 1)) & (F.col("rank") <= k)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
