@@ -78,6 +78,25 @@ def test_full_licences_are_known(spark):
     assert {r["doc_id"]: r["license_id"] for r in licenses.scan(rows).collect()} == {n: n for n in whole}
 
 
+def test_licences_however_wrapped(spark):
+    """Every shipped text at 15 widths, paragraphs filled, in capitals, as a comment and with other holders."""
+    import textwrap
+
+    texts, rows = dict(licenses.known_texts()), []
+    for name, text in texts.items():
+        parts = re.split(r"\n[ \t]*\n\s*", text.strip())
+        for width in range(30, 180, 10):
+            filled = "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in parts)
+            rows += [(name, filled), (name, filled.upper()), (name, textwrap.indent(filled, " * ", lambda line: True))]
+        rows += [(name, "Copyright (c) 2004, 2007-2012 Somebody Else <me@example.org>\n\n" + text)]
+    body = dict(texts)["ISC"]
+    rows += [("ISC", re.sub(r"(?i)copyright \(c\)[^\n]*", "Copyright 1998-2003 The\nSociety of Holders, and\nothers", body))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and not [r["doc_id"] for r in got if r["license_id"] != r["doc_id"]]
+    other = [("1", body + "\n\nand more"), ("2", body.replace("copyright notice", "notice")), ("3", texts["BSD-3-Clause"].replace("COPYRIGHT HOLDERS", "HOLDERS").replace("COPYRIGHT HOLDER", "HOLDER"))]
+    assert {r["license_id"] for r in licenses.scan(spark.createDataFrame(other, "doc_id string, text string")).collect()} == {None}
+
+
 # 2 mixing
 
 
@@ -117,7 +136,27 @@ def test_mixing_odd(spark, odd, none):
     assert mixing.mix(odd).count() == len(ODD)
     assert mixing.mix(none).count() == 0
     mixed = mixing.mixed_rows(odd)
-    assert mixed.columns == odd.columns
+    assert mixed.columns == odd.columns and mixing.mixed_rows(none).count() == 0
+
+
+def test_mixed_rows_take_the_targets(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))
+    same = spark.createDataFrame([(7, "seven words that are all the same " * 3, "en", "rep", 1)] * 400 + [(None, f"text {k} of a row without an id", "en", "rep", 1) for k in range(50)], docs.schema)
+    docs = docs.unionByName(same)
+    size = lambda t: len(WORD.findall(t or ""))
+    before, after = Counter(map(tuple, docs.collect())), Counter(map(tuple, mixing.mixed_rows(docs).collect()))
+    assert after == Counter(map(tuple, mixing.mixed_rows(docs.repartition(7)).collect()))
+    own, got, longest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for row, n in before.items():
+        own[row[3]] += n * size(row[1])
+        longest[row[3]] = max(longest[row[3]], size(row[1]))
+        assert after[row] <= 3 * n
+    for row, n in after.items():
+        assert row in before
+        got[row[3]] += n * size(row[1])
+    names = sorted(own)
+    for name, target in zip(names, brute_targets([own[n] for n in names], [k % 3 + 1 for k in range(len(names))]), strict=True):
+        assert abs(got[name] - target) <= longest[name] / 2 + 1
 
 
 # 3 quality
@@ -214,10 +253,29 @@ def test_nearest(spark):
     assert hit >= 0.9 * 45 * 20
     assert set(got) == set(range(0, 900, 20))
     few = df.where("vec_id < 3 or vec_id = 20")
+    assert ann.nearest(few.unionByName(few.where("vec_id = 1")), few.where("vec_id % 20 = 0")).count() == 8
     assert ann.nearest(few, few.where("vec_id % 20 = 0")).count() == 6
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_with_repeated_ids_and_vectors(spark):
+    """Rows that share ids or vectors are candidates of their own; a query leaves out one row equal to it."""
+    rng = np.random.default_rng(2)
+    v = [[float(x) for x in rng.normal(size=8)] for _ in range(40)]
+    rows = [(k, v[k % 40]) for k in range(80)] + [(0, v[3]), (0, v[0]), (20, v[20])] + [(k, v[5]) for k in range(100, 150)] + [(7, v[9])] * 30
+    df = spark.createDataFrame([(i, x, 1, 2) for i, x in rows], "vec_id long, embedding array<double>, shard int, query_id int")
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), shard=60).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        want = []
+        for k, (i, x) in enumerate(rows):
+            if i == q:
+                own = sorted((-round(float(np.dot(x, y)), 9), j) for m, (j, y) in enumerate(rows) if m != k)[:20]
+                want += [(n + 1, j, -s) for n, (s, j) in enumerate(own)]
+        assert sorted(got[q]) == sorted(want)
+
+
 # 5 toxicity
 
 
@@ -227,6 +285,50 @@ def test_fold():
     assert toxicity.fold(None) == ""
 
 
+def test_fold_of_long_runs_and_look_alikes():
+    import time
+
+    begun = time.time()
+    for text in ("0" * 200_000, "|" * 200_000, "x" * 200_000 + "\u0430", "a." * 100_000, "\u0430a" * 100_000):
+        toxicity.fold(text)
+    assert time.time() - begun < 5
+    assert toxicity.fold("you \u0455\u0441\u03c5\u043c of the earth") == "you scum of the earth"
+    assert toxicity.fold("\u0441\u043e\u0440 \u0438 \u043f\u044b\u043b\u044c") == "\u0441\u043e\u0440 \u0438 \u043f\u044b\u043b\u044c"  # a Russian text stays
+
+
+def test_exceptions_are_learned(spark):
+    rows, marks = [], []
+    for k in range(300):
+        plain = " ".join(f"word{(k * 7 + j * j) % 97}" for j in range(40))
+        rows.append((k, plain + (f" zlorf {'abcdef'[k % 6]}x" if k % 4 == 0 else " the zlorf  valve" if k % 25 == 1 else "")))
+        marks.append((k, 1, int(k % 4 == 0)))
+    docs, truth = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit(docs, truth)
+    assert "zlorf valve" in lexicon.exceptions and "pond scum" in lexicon.exceptions
+    new = spark.createDataFrame([(1, "turn the zlorf\nvalve now"), (2, "you are a zlorf now"), (3, "a zlorf valve and a zlorf")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(new, lexicon).collect()}
+    assert got[1] == 0 and got[2] > 0.5 and got[3] > 0.5
+
+
+def test_toxicity_of_every_text_by_brute_force(spark, data):
+    """Scores again, without the automaton: every entry and exception searched in every folded text."""
+    at = f"{data}/../sf0.01"
+    docs, truth = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    lexicon = toxicity.fit(docs, truth)
+    assert lexicon.entries
+    for r, text in ((r, r["text"]) for r in toxicity.score(docs, lexicon).join(docs.select("doc_id", "text"), "doc_id").collect()):
+        flat = " ".join(toxicity.fold(text).split())
+        spared = [m.span() for e in lexicon.exceptions for m in re.finditer(rf"(?<![^\W_]){re.escape(e)}(?![^\W_])", flat)]
+        best = {}
+        for (entry, whole), w in lexicon.entries.items():
+            for m in re.finditer(rf"(?<![^\W_]){re.escape(entry)}" + (r"(?![^\W_])" if whole else ""), flat):
+                if not any(a <= m.start() < b for a, b in spared):
+                    best[m.start()] = max(best.get(m.start(), (0,)), (w, (entry, whole)))
+        x = lexicon.feature(sum(w for w, _ in best.values()), flat.count(" "))
+        want = 1 / (1 + np.exp(-min(50, lexicon.slope * x + lexicon.bias))) if x > 0 else 0
+        assert r["score"] == pytest.approx(want) and r["predicted"] == (want >= 0.7)
+
+
 def test_lexicon_exceptions():
     lex = toxicity.Lexicon({("scum", True): 9.0, ("idio", False): 9.0}, ["pond scum"], 2.0, -3.0)
     auto = lex.automaton()
@@ -262,7 +364,8 @@ def test_warc(spark):
     got = warc.read(index).collect()
     assert len(got) == len(rows)
     by = {(r["page_id"], r["payload_bytes"]): r for r in got}
-    assert by[(3, 9)]["record_type"] == "response" and by[(5, 9)]["refers_to"] == 3 and by[(None, 9)]["refers_to"] == 3
+    assert sorted((r["record_type"], r["refers_to"]) for r in got if r["page_id"] == 3) == [("response", None), ("revisit", 3)]
+    assert by[(5, 9)]["refers_to"] == 3 and by[(None, 9)]["refers_to"] == 3
     assert by[(1, 0)]["record_type"] == "response" and by[(9, 0)]["refers_to"] == 1
     assert by[(7, 300_000)]["payload_digest"] == warc.base32_sha1(b"z" * 300_000)
     assert by[(None, 5)]["html"] == "alone"
@@ -271,6 +374,27 @@ def test_warc(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_by_brute_force(spark, data):
+    """The table's pages and rows that repeat ids, urls and payloads: one response of each payload, all bytes back."""
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")
+    extra = [(1, "b", "same"), (1, "a", "same"), (1, "a", "same"), (1, None, "same"), (2, "a", "same"), (None, "a", "same"), (None, "n", "no id"), (None, "n", "no id")]
+    pages = pages.unionByName(spark.createDataFrame(extra, pages.schema)).withColumn("refers_to", F.lit("clash")).withColumn("sha", F.lit(1)).withColumn("l", F.lit(2))
+    got, rows = warc.read(warc.write(pages)).collect(), pages.collect()
+    least = {}
+    for r in rows:
+        if r["page_id"] is not None:
+            least[r["html"] or ""] = min(least.get(r["html"] or "", r["page_id"]), r["page_id"])
+    sha = lambda r: warc.base32_sha1((r["html"] or "").encode())
+    assert Counter((r["page_id"], r["url"], sha(r), len((r["html"] or "").encode())) for r in rows) == Counter((r["page_id"], r["url"], r["payload_digest"], r["payload_bytes"]) for r in got)
+    digest = {warc.base32_sha1(h.encode()): (h, i) for h, i in least.items()}
+    responses = Counter(r["payload_digest"] for r in got if r["record_type"] == "response")
+    assert all(responses[d] == 1 for d in digest) and responses[warc.base32_sha1(b"no id")] == 2
+    for r in got:
+        html, i = digest.get(r["payload_digest"], ("no id", None))
+        assert r["refers_to"] == (i if r["record_type"] == "revisit" else None) and r["page_id"] == (i if r["record_type"] == "response" else r["page_id"])
+        assert r["html"] == (html if r["record_type"] == "response" else None)
+
+
 def test_ranges():
     assert warc.ranges([(0, 10), (10, 5), (100, 5), (200_000, 5)], gap=100, most=1000) == [(0, 105, 3), (200_000, 200_005, 1)]
 
@@ -334,6 +458,21 @@ def test_near_duplicates_odd(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_shared_and_missing_ids(spark):
+    one, two, three = (" ".join(f"{x}{j}" for j in range(80)) for x in "abc")
+    near = one.replace("a79", "end")
+    rows = [(1, one), (1, two), (1, two), (2, two), (None, one), (None, three), (None, three), (7, near), (3, three + " end"), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = defaultdict(set)
+    for r in neardup.near_duplicates(docs).collect():
+        got[r["class_id"]].add(r["doc_id"])
+    assert got.pop(None) == {None}
+    assert got.pop(3) == {None, 3} and got.pop(7) == {1, None, 7}  # the least id that names one text only
+    assert list(got.values()) == [{1, 2}]
+    kept = neardup.keep_one(docs)
+    assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in docs.distinct().collect() if (r["doc_id"], r["text"]) in {(1, one), (1, two), (3, three + " end")}) + ["Row(doc_id=None, text='')"] * 2
+
+
 def test_probability_jaccard():
     x, y = (np.array([1, 2, 3], np.uint64), np.array([1.0, 2.0, 4.0])), (np.array([2, 3, 9], np.uint64), np.array([2.0, 1.0, 1.0]))
     w = {1: (1, 0), 2: (2, 2), 3: (4, 1), 9: (0, 1)}
@@ -360,6 +499,32 @@ def test_html(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_by_brute_force(spark, data):
+    """Votes summed in Python and every page read again with its host's path, on the table's pages, some twice, with clashing columns."""
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")
+    pages = pages.unionByName(pages.where("page_id % 7 = 0")).withColumn("path", F.lit("x")).withColumn("host", F.lit("h")).withColumn("text", F.lit(1))
+    rows, cast = pages.collect(), defaultdict(lambda: defaultdict(float))
+    name = lambda url: re.sub(r"^www\.", "", re.sub(r"^[a-z]+://(?:[^/?#@]*@)?([^/?#:]*).*$", r"\1", url or "").lower())
+    for r in rows:
+        if vote := html.votes(r["html"]):
+            cast[name(r["url"])][vote[0]] += round(vote[1], 4)
+    winner = {h: min(v, key=lambda p: (-round(v[p], 3), p)) for h, v in cast.items()}
+    want = sorted((r["page_id"], html.extract(r["html"], winner.get(name(r["url"])))) for r in rows)
+    got = html.main_text(pages).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == want
+    assert all(r["n_chars"] == len(r["text"]) and r["text"] == " ".join(r["text"].split()) for r in got)
+
+
+def test_html_of_deep_nesting():
+    import time
+
+    begun = time.time()
+    n = 20_000
+    assert html.extract("<div>x" * n + "</div>" * n, None).count("x") == n
+    html.votes("<b>" * n + "</i>" * n)
+    assert time.time() - begun < 10
+
+
 # 9 languages
 
 
@@ -373,6 +538,28 @@ def test_language(spark, data, odd, none):
     assert langid.predict(none, langid.fit(none)).count() == 0
 
 
+def test_language_by_brute_force(spark, data):
+    """Evidence again with sets instead of bits; equal evidence goes to the language that sorts first."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.fit(docs)
+    for r in docs.limit(40).collect():
+        code, total = langid.letters(r["text"]), np.zeros(len(model.names))
+        for j, n in enumerate(langid.LENGTHS):
+            grams = langid.grams(code, n)
+            for k in range(len(model.names)):
+                hits = sum(all(int(model.rows[j, k // 64, at[i]]) >> (k % 64) & 1 for at in model.places(grams)) for i in range(len(grams)))
+                if len(grams):
+                    total[k] += max(0.0, (hits / len(grams) - model.fp[j, k]) / (1 - min(model.fp[j, k], 0.99)))
+        assert model.predict(r["text"])[0] == (model.names[int(np.argmax(total))] if len(code) else "und")
+    tied = langid.Filters({name: {n: np.arange(9, dtype=np.uint64) for n in langid.LENGTHS} for name in ("b", "a")})
+    assert tied.predict("some text")[0] == "a"
+
+
+def test_language_sample_takes_repeated_rows_once(spark):
+    docs = spark.createDataFrame([(2, "the same text", "en")] * 500 + [(k, f"text {k}", "en") for k in range(3, 40)], "doc_id long, text string, lang string")
+    assert langid._sample(docs, 10**6, "doc_id", "text", "lang").where("text = 'the same text'").count() <= 1
+
+
 def test_bloom_has_no_false_negatives():
     sets = {f"l{k}": {n: np.arange(k * 50, k * 50 + 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in langid.LENGTHS} for k in range(70)}
     model = langid.Filters(sets)
