@@ -12,7 +12,12 @@ SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 WORD = r"[A-Za-z]+(?:['’-][A-Za-z]+)*"
 ABBREVIATIONS = "approx apr aug ave ca ch co corp dec dr e.g eq etc feb fig fri i.e inc jan jr jul jun ltd mar max min mon mr mrs ms nov oct p pp prof sat sec sep sr st sun thu tue vol vs wed".split()
 QUOTES = "\"'“”‘’«»"
-_ABBREVIATED = r"(?<=(?:^|[" + SPACE + r"])(?i:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.{1,9})"
+#: Stands between sentences while they are told apart; a text that holds this noncharacter is split there.
+_MARK = "\uffff"
+_BLANKS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_SENTENCE_END = r"([.!?])[" + SPACE + r"]+(?=[A-Z])"
+#: Longer spellings first, so that one of them isn't cut short by its beginning.
+_ABBREVIATED = r"(?<![^" + SPACE + _MARK + r"])((?i:" + "|".join(a.replace(".", r"\.") for a in sorted(ABBREVIATIONS, key=len, reverse=True)) + r")\.{1,9})" + _MARK
 _FENCE = r"(?m)^[" + SPACE + r"]*(```|~~~)"
 
 
@@ -70,7 +75,7 @@ def clean(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A[" + SPACE + r"]+|[" + SPACE + r"]+\z", "")
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def paragraphs(text: Column) -> Column:
@@ -78,11 +83,13 @@ def paragraphs(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Split after . ! ? before a capital, unless an abbreviation ends there: then the gap becomes one blank."""
-    gap = r"[" + SPACE + r"]+(?=[A-Z])"
-    joined = F.regexp_replace(text, _ABBREVIATED + gap, " ")
-    pieces = F.split(joined, r"(?<=[.!?])(?<!" + _ABBREVIATED[4:] + gap)
-    return F.filter(F.transform(pieces, strip), lambda s: s != "")
+    """Split after . ! ? before a capital, unless an abbreviation ends there: then the gap becomes one blank.
+
+    All places are marked first and those after an abbreviation unmarked, so
+    no pattern looks back further than one character.
+    """
+    marked = F.regexp_replace(text, _SENTENCE_END, "$1" + _MARK)
+    return F.filter(F.transform(F.split(F.regexp_replace(marked, _ABBREVIATED, "$1 "), _MARK), strip), lambda s: s != "")
 
 
 def paragraph_sentences(text: Column) -> Column:

@@ -47,7 +47,7 @@ def bootstrap(docs: DataFrame, b: int = 50, least: int = 8) -> DataFrame:
 
     modal = words("modal")
     counted = F.transform("sents", lambda s: F.struct(F.size(tokens(s)).alias("n"), F.size(F.filter(tokens(s), lambda w: w.isin(modal))).alias("m")))
-    base = cleaned(docs).where(F.size("sents") >= least).select("doc_id", F.sha2("text", 256).alias("seed"), counted.alias("c"))
+    base = cleaned(docs, sents=True).where(F.size("sents") >= least).select("doc_id", F.sha2("text", 256).alias("seed"), counted.alias("c"))
 
     @F.pandas_udf("replicates int, point double, low double, high double, se double")
     def run(seeds: pd.Series, counts: pd.Series) -> pd.DataFrame:
@@ -73,7 +73,7 @@ def perturbed(docs: DataFrame, grid: tuple[float, ...] = (0.0, 0.5, 1.0)) -> Dat
     def run(sents: pd.Series, kind: pd.Series, intensity: pd.Series, seed: pd.Series) -> pd.Series:
         return pd.Series([" ".join(K.perturb(k, list(s), e, d)) for s, k, e, d in zip(sents, kind, intensity, seed, strict=True)], dtype=object)
 
-    spread = cleaned(docs).select("doc_id", "sents", F.sha2("text", 256).alias("seed"), cells.alias("cell")).select("doc_id", "sents", "seed", "cell.*")
+    spread = cleaned(docs, sents=True).select("doc_id", "sents", F.sha2("text", 256).alias("seed"), cells.alias("cell")).select("doc_id", "sents", "seed", "cell.*")
     return spread.select("doc_id", "kind", "intensity", run("sents", "kind", "intensity", "seed").alias("text"))
 
 

@@ -17,17 +17,17 @@ EXISTENTIAL = r"(?i)\bthere\s+(is|are|was|were|exists?|existed)\b"
 COPULA = r"(?i)\bthere\s+(is|are|was|were)\b"
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text (cleaned), sents (array), w (array), and kept columns."""
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), sents: bool = False) -> DataFrame:
+    """doc_id, text (cleaned) and kept columns; sents (array) where wanted, since a generated column can't be pruned."""
     once = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  a generated column is computed once, however often it is read
     step = docs.select(F.col(id_col).alias("doc_id"), *keep, once(T.unfenced(T.canonicalise(F.coalesce(F.col(text_col), F.lit("")))), "raw"))
     step = step.select("doc_id", *keep, "raw", once(T.fence_state(F.col("raw")), "state"))
     step = step.select("doc_id", *keep, once(T.blank_fences(F.col("raw"), F.col("state")), "text"))
-    return step.select("doc_id", *keep, "text", once(T.paragraph_sentences(F.col("text")), "sents"))
+    return step.select("doc_id", *keep, "text", once(T.paragraph_sentences(F.col("text")), "sents")) if sents else step
 
 
 def relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    base = cleaned(docs, id_col, text_col, keep)
+    base = cleaned(docs, id_col, text_col, keep, sents=True)
     text, sents = F.col("text"), F.col("sents")
     ends = lambda mark: F.size(F.filter(sents, lambda s: F.endswith(s, F.lit(mark)))).cast("long")
     doc = base.select(

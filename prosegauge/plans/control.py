@@ -9,7 +9,7 @@ pairing a document with every reference row.
 from __future__ import annotations
 
 FEATURES = ["lexical_novelty", "sentence_length_variance", "modal_density", "negation_density"]
-_LONG = " UNION ALL ".join(f"SELECT doc_id, lang, '{x}' AS feature, {x} AS v FROM {{feat}}" for x in FEATURES)
+_LONG = " UNION ALL ".join(f"SELECT doc_id, lang, n_words, '{x}' AS feature, {x} AS v FROM {{feat}}" for x in FEATURES)
 
 REFERENCE = f"""WITH lng AS ({_LONG}) SELECT lang, feature, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, {", ".join(f"round({{percentile_{p}}}, 6) AS p{p:02d}" for p in (5, 25, 50, 75, 95))} FROM lng WHERE doc_id % 2 = 0 GROUP BY lang, feature"""
 
@@ -42,7 +42,7 @@ EWMA_SQL = f"""{_STREAM}, walk(lang, i, doc_id, z, mu0, sigma0) AS (SELECT lang,
 z AS (SELECT *, 3.0 * sigma0 * sqrt(0.2::DOUBLE / 1.8::DOUBLE * (1 - power(0.8::DOUBLE, 2 * (i + 1)))) AS half FROM walk)
 SELECT lang, i, doc_id, round(z, 5) AS z, round(mu0 + half, 5) AS ucl, round(mu0 - half, 5) AS lcl, round(z, 5) > round(mu0 + half, 5) OR round(z, 5) < round(mu0 - half, 5) AS beyond FROM z"""
 
-SPEARMAN = f"""WITH lng AS (SELECT f.doc_id, lang, feature, v, n_words FROM ({_LONG}) f JOIN (SELECT doc_id, n_words FROM {{doc}}) d ON f.doc_id = d.doc_id),
+SPEARMAN = f"""WITH lng AS (SELECT doc_id, lang, feature, v, n_words FROM ({_LONG}) f),
 rk AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY feature ORDER BY n_words) + (count(*) OVER (PARTITION BY feature, n_words) - 1) / 2.0 AS b FROM lng)
 SELECT feature, count(*) AS n, coalesce(round((count(*) * sum(CAST(a AS DOUBLE) * b) - sum(CAST(a AS DOUBLE)) * sum(CAST(b AS DOUBLE))) / nullif(sqrt(count(*) * sum(CAST(a AS DOUBLE) * a) - sum(CAST(a AS DOUBLE)) * sum(CAST(a AS DOUBLE))) * sqrt(count(*) * sum(CAST(b AS DOUBLE) * b) - sum(CAST(b AS DOUBLE)) * sum(CAST(b AS DOUBLE))), 0), 6), 0.0) AS rho FROM rk GROUP BY feature"""
 

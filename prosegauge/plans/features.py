@@ -1,7 +1,9 @@
-"""The document features as SQL over the relations of base.py.
+"""The document features as SQL over {wide}, one row of counts per document.
 
-One text serves Spark (names in braces are DataFrames) and any other engine
-(names are common table expressions).  Values below the 150-word envelope are
+Here {wide} comes from one pass over the texts (operators/wide.py), so a feature
+is a projection without a join or a shuffle.  For another engine WIDE_SQL makes
+the same row from relations of sentences and words: an independent form of every
+count.  Values below the 150-word envelope are
 null where the feature is gated, and 0 or a number where it is not.
 """
 
@@ -25,10 +27,16 @@ def entropy(counts: list[str], total: str) -> str:
     return " + ".join(f"(CASE WHEN {c} > 0 THEN -(({c}) / CAST({total} AS DOUBLE)) * log2(({c}) / CAST({total} AS DOUBLE)) ELSE 0.0 END)" for c in counts)
 
 
+def fields(sql: str) -> str:
+    """The columns besides doc_id of a query of the form SELECT d.doc_id, ... FROM {wide} d."""
+    begin, end = "SELECT d.doc_id, ", " FROM {wide} d"
+    return sql.replace("\nFROM {wide} d", end).strip().removeprefix(begin).removesuffix(end)
+
+
 #: Compact class of a word: list classes first, then the -ing / -ed fallback unless a deny list holds the word.
 KIND = "CASE WHEN l.cls BETWEEN 1 AND 6 THEN l.cls WHEN l.cls >= 7 THEN 0 WHEN f.word LIKE '%ing' AND length(f.word) > 5 THEN 6 WHEN f.word LIKE '%ed' AND length(f.word) > 4 THEN 6 ELSE 0 END"
 
-COUNTS = f"""counts AS (SELECT /*+ BROADCAST(l) */ f.doc_id, sum(c) AS n, count(*) AS types, sum(c * length(f.word)) AS letters, sum(CASE WHEN c = 1 THEN 1 ELSE 0 END) AS hapax, sum(c * c) AS c2, sum(p) AS p1, sum(p * p) AS p2,
+_COUNTS = f"""counts AS (SELECT f.doc_id, sum(c) AS n, count(*) AS types, sum(c * length(f.word)) AS letters, sum(CASE WHEN c = 1 THEN 1 ELSE 0 END) AS hapax, sum(c * c) AS c2, sum(p) AS p1, sum(p * p) AS p2,
   {", ".join(f"sum(CASE WHEN {KIND} = {k} THEN c ELSE 0 END) AS k{k}" for k in range(1, 7))},
   {", ".join(f"sum(CASE WHEN coalesce(l.ext, 0) = {k} THEN c ELSE 0 END) AS e{k}" for k in range(1, 7))},
   {", ".join(f"{hits(x)} AS {x}" for x in "pron modal neg sub1 xmodal hedge boost xpron demon defart addc advc cauc temc".split())},
@@ -43,93 +51,121 @@ def r(x: str) -> str:
     return f"round({x}, {D})"
 
 
-WORD_COUNTS = "SELECT d.doc_id, d.n_words, d.n_sent, d.blank_words FROM {doc} d"
-
-COHESION = f"""WITH {COUNTS} SELECT d.doc_id, {GATE} {r("c.types / CAST(d.n_words AS DOUBLE)")} END AS type_token_ratio, {GATE} {r("c.pron * 100.0 / CAST(d.n_words AS DOUBLE)")} END AS pronoun_density,
-  {GATE} CASE WHEN c.content_types > 0 THEN {r("c.repeated_types / CAST(c.content_types AS DOUBLE)")} ELSE 0.0 END END AS lexical_repetition FROM {{doc}} d LEFT JOIN counts c ON d.doc_id = c.doc_id"""
+WORD_COUNTS = "SELECT d.doc_id, d.n_words, d.n_sent, d.blank_words FROM {wide} d"
 
-VARIANCE = "lengths AS (SELECT doc_id, CASE WHEN count(*) < 2 THEN 0.0 ELSE var_pop(CAST({blanks} AS DOUBLE)) END AS variance FROM {{sen}} GROUP BY doc_id)"
+COHESION = f"""SELECT d.doc_id, {GATE} {r("d.types / CAST(d.n_words AS DOUBLE)")} END AS type_token_ratio, {GATE} {r("d.pron * 100.0 / CAST(d.n_words AS DOUBLE)")} END AS pronoun_density,
+  {GATE} CASE WHEN d.content_types > 0 THEN {r("d.repeated_types / CAST(d.content_types AS DOUBLE)")} ELSE 0.0 END END AS lexical_repetition FROM {{wide}} d"""
 
-REGISTER = f"""WITH {COUNTS}, lengths AS (SELECT doc_id, count(*) AS m, sum(n) AS s1, sum(n * n) AS s2 FROM (SELECT doc_id, {{blank_count}} AS n FROM {{sen}}) x GROUP BY doc_id)
-SELECT d.doc_id, {r("coalesce(c.content_types, 0) / CAST(greatest(coalesce(c.content, 0), 1) AS DOUBLE)")} AS lexical_novelty, CASE WHEN coalesce(s.m, 0) < 2 THEN 0.0 ELSE {r("(s.m * s.s2 - s.s1 * s.s1) / CAST(s.m * s.m AS DOUBLE)")} END AS sentence_length_variance,
-  CASE WHEN d.n_words = 0 THEN 0.0 ELSE {r("c.modal * 100.0 / CAST(d.n_words AS DOUBLE)")} END AS modal_density, CASE WHEN d.n_words = 0 THEN 0.0 ELSE {r("c.neg * 100.0 / CAST(d.n_words AS DOUBLE)")} END AS negation_density
-FROM {{doc}} d LEFT JOIN counts c ON d.doc_id = c.doc_id LEFT JOIN lengths s ON d.doc_id = s.doc_id"""
+REGISTER = f"""SELECT d.doc_id, {r("coalesce(d.content_types, 0) / CAST(greatest(coalesce(d.content, 0), 1) AS DOUBLE)")} AS lexical_novelty, CASE WHEN coalesce(d.len_m, 0) < 2 THEN 0.0 ELSE {r("(d.len_m * d.len_s2 - d.len_s1 * d.len_s1) / CAST(d.len_m * d.len_m AS DOUBLE)")} END AS sentence_length_variance,
+  CASE WHEN d.n_words = 0 THEN 0.0 ELSE {r("d.modal * 100.0 / CAST(d.n_words AS DOUBLE)")} END AS modal_density, CASE WHEN d.n_words = 0 THEN 0.0 ELSE {r("d.neg * 100.0 / CAST(d.n_words AS DOUBLE)")} END AS negation_density
+FROM {{wide}} d"""
 
-_SIX = ["k1", "k2", "rel", "k5", "k6", "n_exist"]
-SFL = f"""WITH {COUNTS}, six AS (SELECT d.doc_id, d.n_words, d.n_exist, c.k1, c.k2, c.k5, c.k6, c.k4 + greatest(0, c.k3 - d.n_cop) AS rel FROM {{doc}} d LEFT JOIN counts c ON d.doc_id = c.doc_id)
-SELECT d.doc_id, {GATE} CASE WHEN k1 + k2 + rel + k5 + k6 + n_exist = 0 THEN 0.0 ELSE {r(entropy(_SIX, "k1 + k2 + rel + k5 + k6 + n_exist").replace("((rel)", "((rel)"))} END END AS process_proxy_entropy,
-  {GATE} {r("(rel + n_exist) / CAST(greatest(k1 + k2 + k6, 1) AS DOUBLE)")} END AS stative_active_ratio, {GATE} {r("(k1 + k2) * 100.0 / CAST(d.n_words AS DOUBLE)")} END AS projection_frequency FROM six d"""
+_RELATIONAL = "(d.k4 + greatest(0, d.k3 - d.n_cop))"
+_SIX = ["d.k1", "d.k2", _RELATIONAL, "d.k5", "d.k6", "d.n_exist"]
+_ALL = " + ".join(_SIX)
+SFL = f"""SELECT d.doc_id, {GATE} CASE WHEN {_ALL} = 0 THEN 0.0 ELSE {r(entropy(_SIX, f"({_ALL})"))} END END AS process_proxy_entropy,
+  {GATE} {r(f"({_RELATIONAL} + d.n_exist) / CAST(greatest(d.k1 + d.k2 + d.k6, 1) AS DOUBLE)")} END AS stative_active_ratio, {GATE} {r("(d.k1 + d.k2) * 100.0 / CAST(d.n_words AS DOUBLE)")} END AS projection_frequency FROM {{wide}} d"""
 
-SFL_TRACE = f"""WITH {COUNTS} SELECT d.doc_id, {", ".join(f"CAST({x} AS BIGINT) AS {n}" for n, x in [("mental", "coalesce(k1, 0)"), ("verbal", "coalesce(k2, 0)"), ("relational", "greatest(0, coalesce(k3 + k4, 0) - d.n_cop)"), ("behavioral", "coalesce(k5, 0)"), ("existential", "d.n_exist"), ("material", "coalesce(k6, 0)"), ("debit", "d.n_cop")])}
-FROM {{doc}} d LEFT JOIN counts c ON d.doc_id = c.doc_id"""
+SFL_TRACE = f"""SELECT d.doc_id, {", ".join(f"CAST({x} AS BIGINT) AS {n}" for n, x in [("mental", "coalesce(k1, 0)"), ("verbal", "coalesce(k2, 0)"), ("relational", "greatest(0, coalesce(k3 + k4, 0) - d.n_cop)"), ("behavioral", "coalesce(k5, 0)"), ("existential", "d.n_exist"), ("material", "coalesce(k6, 0)"), ("debit", "d.n_cop")])}
+FROM {{wide}} d"""
 
-STYLOMETRY = f"""SELECT d.doc_id, {", ".join(f"CASE WHEN d.n_sent > 0 AND d.n_words > 0 THEN {r(x)} END AS {n}" for n, x in [("semicolon_per_1k_words", "semicolons * 1000.0 / CAST(d.n_words AS DOUBLE)"), ("comma_per_sentence", "commas / CAST(d.n_sent AS DOUBLE)"), ("question_rate", "questions / CAST(d.n_sent AS DOUBLE)"), ("exclamation_rate", "exclaims / CAST(d.n_sent AS DOUBLE)"), ("quotation_density", "quotes * 1000.0 / CAST(greatest(n_chars, 1) AS DOUBLE)")])} FROM {{doc}} d"""
+STYLOMETRY = f"""SELECT d.doc_id, {", ".join(f"CASE WHEN d.n_sent > 0 AND d.n_words > 0 THEN {r(x)} END AS {n}" for n, x in [("semicolon_per_1k_words", "semicolons * 1000.0 / CAST(d.n_words AS DOUBLE)"), ("comma_per_sentence", "commas / CAST(d.n_sent AS DOUBLE)"), ("question_rate", "questions / CAST(d.n_sent AS DOUBLE)"), ("exclamation_rate", "exclaims / CAST(d.n_sent AS DOUBLE)"), ("quotation_density", "quotes * 1000.0 / CAST(greatest(n_chars, 1) AS DOUBLE)")])} FROM {{wide}} d"""
 
-DIST_TYPES = f"""WITH {COUNTS} SELECT d.doc_id, {GATE} {r("hapax / CAST(types AS DOUBLE)")} END AS hapax_ratio, {GATE} {r("10000.0 * (c2 - n) / CAST(n * n AS DOUBLE)")} END AS yule_k,
-  {GATE} {r("((n * p1 - p2) / 2.0) / (CAST(n AS DOUBLE) * (n * n - 1) / 12.0) / n")} END AS growth_slope, {GATE} {r("letters / CAST(n AS DOUBLE)")} END AS mean_word_length FROM {{doc}} d LEFT JOIN counts c ON d.doc_id = c.doc_id"""
+DIST_TYPES = f"""SELECT d.doc_id, {GATE} {r("hapax / CAST(types AS DOUBLE)")} END AS hapax_ratio, {GATE} {r("10000.0 * (c2 - n) / CAST(n * n AS DOUBLE)")} END AS yule_k,
+  {GATE} {r("((n * p1 - p2) / 2.0) / (CAST(n AS DOUBLE) * (n * n - 1) / 12.0) / n")} END AS growth_slope, {GATE} {r("letters / CAST(n AS DOUBLE)")} END AS mean_word_length FROM {{wide}} d"""
 
-DIST_MATTR = f"""WITH w AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id, word ORDER BY pos) AS prev FROM {{tok}}),
-s AS (SELECT w.doc_id, sum(greatest(0, least(w.pos, d.n_words - 100) - greatest(w.pos - 99, coalesce(w.prev + 1, 0), 0) + 1)) AS total FROM w JOIN {{doc}} d ON w.doc_id = d.doc_id WHERE d.n_words >= {MIN_WORDS} GROUP BY w.doc_id)
-SELECT d.doc_id, {r("s.total / CAST((d.n_words - 99) * 100 AS DOUBLE)")} AS mattr FROM {{doc}} d LEFT JOIN s ON d.doc_id = s.doc_id"""
+DIST_MATTR = f"""SELECT d.doc_id, {GATE} {r("d.mattr_total / CAST((d.n_words - 99) * 100 AS DOUBLE)")} END AS mattr FROM {{wide}} d"""
+DIST_BIGRAM = f"""SELECT d.doc_id, {GATE} {r("log2(CAST(d.n_words - 1 AS DOUBLE)) - d.bg_s / (d.n_words - 1)")} END AS bigram_entropy FROM {{wide}} d"""
+DIST_HALFLIFE = f"""SELECT d.doc_id, {GATE} coalesce({r("d.half_pos / CAST(d.n_words - 1 AS DOUBLE)")}, 0.5) END AS repetition_halflife FROM {{wide}} d"""
+DIST_BURSTINESS = f"""SELECT d.doc_id, {GATE} coalesce({r("d.burst")}, 0.0) END AS burstiness FROM {{wide}} d"""
+DIST_SENTENCES = f"""SELECT d.doc_id, {GATE} {r("abs(log2(CAST(d.len_m AS DOUBLE)) - d.sb_s / d.len_m)")} END AS sentence_length_entropy FROM {{wide}} d"""
+DIST_CHARS = f"""SELECT d.doc_id, {GATE} {r("log2(CAST(d.ch_n AS DOUBLE)) - d.ch_s / d.ch_n")} END AS char_entropy, {GATE} CASE WHEN n_chars < 20 THEN 0.0 ELSE {r("d.drift")} END END AS entropy_drift FROM {{wide}} d"""
 
-_BIGRAMS = "b AS (SELECT doc_id, pos, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM {tok})"
-DIST_BIGRAM = f"""WITH {_BIGRAMS}, g AS (SELECT doc_id, word, next, count(*) AS c FROM b WHERE next IS NOT NULL GROUP BY doc_id, word, next), t AS (SELECT doc_id, sum(c) AS n, sum(c * log2(CAST(c AS DOUBLE))) AS s FROM g GROUP BY doc_id)
-SELECT d.doc_id, {GATE} {r("log2(CAST(t.n AS DOUBLE)) - t.s / t.n")} END AS bigram_entropy FROM {{doc}} d LEFT JOIN t ON d.doc_id = t.doc_id"""
-
-DIST_HALFLIFE = f"""WITH {_BIGRAMS}, o AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, word, next ORDER BY pos) AS k FROM b WHERE next IS NOT NULL),
-q AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc_id) AS m FROM o WHERE k = 2), h AS (SELECT doc_id, min(pos) AS pos FROM q WHERE 2 * i >= m GROUP BY doc_id)
-SELECT d.doc_id, {GATE} coalesce({r("h.pos / CAST(d.n_words - 1 AS DOUBLE)")}, 0.5) END AS repetition_halflife FROM {{doc}} d LEFT JOIN h ON d.doc_id = h.doc_id"""
+_CLASSIFIED = "(e1 + e2 + e3 + e4 + e5 + e6)"
+_W = "CAST(d.n AS DOUBLE)"
+EXT_SFL = f"""SELECT d.doc_id, {", ".join(f"coalesce({r(f'e{k} / CAST(nullif({_CLASSIFIED}, 0) AS DOUBLE)')}, 0.0) AS pct_{name}" for k, name in enumerate(EXTENDED) if k)},
+  {", ".join(f"coalesce({r(f'{x} * 100.0 / {_W}')}, 0.0) AS {n}" for n, x in [("process_density", _CLASSIFIED), ("modal_density", "xmodal"), ("hedge_density", "hedge"), ("booster_density", "boost")])},
+  coalesce({r("(boost - hedge) / CAST(nullif(boost + hedge, 0) AS DOUBLE)")}, 0.0) AS modality_balance FROM {{wide}} d"""
 
-DIST_BURSTINESS = f"""WITH ranked AS (SELECT doc_id, word, c, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, p) AS k FROM {{freq}} WHERE length(word) >= 3), top AS (SELECT doc_id, word FROM ranked WHERE k <= 20 AND c >= 3),
-gaps AS (SELECT t.doc_id, t.word, pos - lag(pos) OVER (PARTITION BY t.doc_id, t.word ORDER BY pos) AS gap FROM {{tok}} t JOIN top ON t.doc_id = top.doc_id AND t.word = top.word),
-one AS (SELECT doc_id, word, avg(gap) AS mu, stddev_pop(gap) AS sigma FROM gaps WHERE gap IS NOT NULL GROUP BY doc_id, word), two AS (SELECT doc_id, avg((sigma - mu) / (sigma + mu)) AS v FROM one GROUP BY doc_id)
-SELECT d.doc_id, {GATE} coalesce({r("two.v")}, 0.0) END AS burstiness FROM {{doc}} d LEFT JOIN two ON d.doc_id = two.doc_id"""
+_STEM = "CASE WHEN length(word) < 5 THEN word " + " ".join(f"WHEN word LIKE '%{s}' AND length(word) >= {len(s) + 3} THEN substr(word, 1, length(word) - {len(s)})" for s in "ingly ation ions ing ies ied ed es s ly".split()) + " ELSE word END"
+EXT_COHESION = f"""SELECT d.doc_id, {", ".join(f"coalesce({r(f'{x} * 100.0 / {_W}')}, 0.0) AS {n}" for n, x in [("pronoun_density", "xpron"), ("demonstrative_density", "demon"), ("definite_article_density", "defart"), ("reference_density", "(xpron + demon + defart)"), ("additive_density", "addc"), ("adversative_density", "advc"), ("causal_density", "cauc"), ("temporal_density", "temc")])},
+  coalesce({r("advc / CAST(nullif(addc + advc, 0) AS DOUBLE)")}, 0.0) AS conjunction_balance, coalesce({r("d.stems / CAST(d.st_n AS DOUBLE)")}, 0.0) AS type_token_ratio, coalesce({r("d.again / CAST(d.stems AS DOUBLE)")}, 0.0) AS lexical_repetition_rate,
+  coalesce({r("d.chains / CAST(nullif(d.n_sent, 0) AS DOUBLE)")}, 0.0) AS lexical_chain_count, coalesce({r("d.span / CAST(greatest(d.n_sent - 1, 1) AS DOUBLE) / nullif(d.chains, 0)")}, 0.0) AS lexical_chain_span
+FROM {{wide}} d"""
 
-DIST_SENTENCES = f"""WITH b AS (SELECT doc_id, CASE WHEN n <= 5 THEN 1 WHEN n <= 10 THEN 2 WHEN n <= 15 THEN 3 WHEN n <= 20 THEN 4 WHEN n <= 30 THEN 5 ELSE 6 END AS bin FROM (SELECT doc_id, {{blank_count}} AS n FROM {{sen}}) x),
-g AS (SELECT doc_id, bin, count(*) AS c FROM b GROUP BY doc_id, bin), t AS (SELECT doc_id, sum(c) AS n, sum(c * log2(CAST(c AS DOUBLE))) AS s FROM g GROUP BY doc_id)
-SELECT d.doc_id, {GATE} {r("abs(log2(CAST(t.n AS DOUBLE)) - t.s / t.n)")} END AS sentence_length_entropy FROM {{doc}} d LEFT JOIN t ON d.doc_id = t.doc_id"""
+RST = f"""SELECT d.doc_id, {", ".join(f"CASE WHEN d.n_words >= {MIN_WORDS} AND d.has_end AND d.n_sent > 0 THEN {r(f'd.{x} / CAST(d.n_sent AS DOUBLE)')} END AS {n}" for n, x in [("marker_density", "markers"), ("elaboration_marker_density", "elaboration"), ("contrast_marker_density", "contrast")])} FROM {{wide}} d"""
 
-_CHARS = "ch AS (SELECT doc_id, half, ch, count(*) AS c FROM {letters} GROUP BY doc_id, half, ch)"
-DIST_CHARS = f"""WITH {_CHARS}, w AS (SELECT doc_id, ch, sum(c) AS c FROM ch GROUP BY doc_id, ch), a AS (SELECT doc_id, sum(c) AS n, sum(c * log2(CAST(c AS DOUBLE))) AS s FROM w GROUP BY doc_id),
-h AS (SELECT doc_id, half, log2(CAST(sum(c) AS DOUBLE)) - sum(c * log2(CAST(c AS DOUBLE))) / sum(c) AS e FROM ch GROUP BY doc_id, half),
-p AS (SELECT doc_id, abs(coalesce(sum(CASE WHEN half = 0 THEN e END), 0.0) - coalesce(sum(CASE WHEN half = 1 THEN e END), 0.0)) AS drift FROM h GROUP BY doc_id)
-SELECT d.doc_id, {GATE} {r("log2(CAST(a.n AS DOUBLE)) - a.s / a.n")} END AS char_entropy, {GATE} CASE WHEN n_chars < 20 THEN 0.0 ELSE {r("p.drift")} END END AS entropy_drift FROM {{doc}} d LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN p ON d.doc_id = p.doc_id"""
+_REL9 = [f"d.r{k}" for k in range(1, 10)]
+EXT_RST = f"""SELECT d.doc_id, {", ".join(f"coalesce({r(f'd.r{k + 1} / CAST(nullif(d.n_sent, 0) AS DOUBLE)')}, 0.0) AS {name}_density" for k, name in enumerate(RELATIONS))}, coalesce({r("d.rel_total / CAST(nullif(d.n_sent, 0) AS DOUBLE)")}, 0.0) AS total_marker_density,
+  coalesce({r("(" + entropy(_REL9, "d.rel_total") + ") / log2(CAST(9 AS DOUBLE))")}, 0.0) AS relation_diversity, coalesce({r("d.switches / CAST(nullif(d.pairs, 0) AS DOUBLE)")}, 0.0) AS branching_score, coalesce({r("d.deep / CAST(nullif(d.n_sent, 0) AS DOUBLE)")}, 0.0) AS max_depth_score
+FROM {{wide}} d"""
 
-_CLASSIFIED = "(e1 + e2 + e3 + e4 + e5 + e6)"
-_W = "CAST(c.n AS DOUBLE)"
-EXT_SFL = f"""WITH {COUNTS} SELECT d.doc_id, {", ".join(f"coalesce({r(f'e{k} / CAST(nullif({_CLASSIFIED}, 0) AS DOUBLE)')}, 0.0) AS pct_{name}" for k, name in enumerate(EXTENDED) if k)},
-  {", ".join(f"coalesce({r(f'{x} * 100.0 / {_W}')}, 0.0) AS {n}" for n, x in [("process_density", _CLASSIFIED), ("modal_density", "xmodal"), ("hedge_density", "hedge"), ("booster_density", "boost")])},
-  coalesce({r("(boost - hedge) / CAST(nullif(boost + hedge, 0) AS DOUBLE)")}, 0.0) AS modality_balance FROM {{doc}} d LEFT JOIN counts c ON d.doc_id = c.doc_id"""
+# ---- the parts of {wide} as SQL over the relations of base.py, for another engine
 
-_STEM = "CASE WHEN length(word) < 5 THEN word " + " ".join(f"WHEN word LIKE '%{s}' AND length(word) >= {len(s) + 3} THEN substr(word, 1, length(word) - {len(s)})" for s in "ingly ation ions ing ies ied ed es s ly".split()) + " ELSE word END"
-EXT_COHESION = f"""WITH {COUNTS}, st AS (SELECT /*+ BROADCAST(l) */ doc_id, stem, sent, count(*) AS c FROM (SELECT t.doc_id, t.sent, t.word, l.bits, {_STEM.replace("word", "t.word")} AS stem FROM {{tok}} t LEFT JOIN {{lex}} l ON t.word = l.word) x
-  WHERE length(word) >= 3 AND (coalesce(bits, 0) & {bit("stop")}) = 0 GROUP BY doc_id, stem, sent),
-s AS (SELECT doc_id, stem, sum(c) AS c, count(*) AS m, min(sent) AS lo, max(sent) AS hi FROM st GROUP BY doc_id, stem),
-a AS (SELECT doc_id, sum(c) AS n, count(*) AS stems, sum(CASE WHEN m >= 2 THEN 1 ELSE 0 END) AS again, sum(CASE WHEN m >= 3 THEN 1 ELSE 0 END) AS chains, sum(CASE WHEN m >= 3 THEN hi - lo ELSE 0 END) AS span FROM s GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce({r(f'{x} * 100.0 / {_W}')}, 0.0) AS {n}" for n, x in [("pronoun_density", "xpron"), ("demonstrative_density", "demon"), ("definite_article_density", "defart"), ("reference_density", "(xpron + demon + defart)"), ("additive_density", "addc"), ("adversative_density", "advc"), ("causal_density", "cauc"), ("temporal_density", "temc")])},
-  coalesce({r("advc / CAST(nullif(addc + advc, 0) AS DOUBLE)")}, 0.0) AS conjunction_balance, coalesce({r("a.stems / CAST(a.n AS DOUBLE)")}, 0.0) AS type_token_ratio, coalesce({r("a.again / CAST(a.stems AS DOUBLE)")}, 0.0) AS lexical_repetition_rate,
-  coalesce({r("a.chains / CAST(nullif(d.n_sent, 0) AS DOUBLE)")}, 0.0) AS lexical_chain_count, coalesce({r("a.span / CAST(greatest(d.n_sent - 1, 1) AS DOUBLE) / nullif(a.chains, 0)")}, 0.0) AS lexical_chain_span
-FROM {{doc}} d LEFT JOIN counts c ON d.doc_id = c.doc_id LEFT JOIN a ON d.doc_id = a.doc_id"""
-
-#: Sentence-level cues of the compact discourse view; the columns of {cue} are prepared in plans/queries.py.
 _CATS = ["i_elab", "i_contrast", "i_cause", "i_result", "i_cond", "i_joint"]
-RST = f"""WITH s AS (SELECT /*+ BROADCAST(l) */ q.doc_id, q.sent, {", ".join(f"CASE WHEN (coalesce(l.bits, 0) & {bit(x)}) <> 0 AND ((coalesce(l.bits, 0) & {bit('init_only')}) = 0 OR q.first_word = q.marker)" + (f" AND ((coalesce(l.bits, 0) & {bit('broad')}) = 0 OR q.blanks >= 8)" if x == "i_elab" else "") + f" THEN 1 ELSE 0 END AS {x}" for x in _CATS)}, q.but, q.gloss FROM {{cue}} q LEFT JOIN {{lex}} l ON q.marker = l.word),
-t AS (SELECT doc_id, sum(greatest(i_elab, gloss)) AS elaboration, sum(greatest(i_contrast, but)) AS contrast, sum(greatest(i_elab, gloss) + greatest(i_contrast, but) + i_cause + i_result + i_cond + i_joint) AS markers FROM s GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"CASE WHEN d.n_words >= {MIN_WORDS} AND d.has_end AND d.n_sent > 0 THEN {r(f't.{x} / CAST(d.n_sent AS DOUBLE)')} END AS {n}" for n, x in [("marker_density", "markers"), ("elaboration_marker_density", "elaboration"), ("contrast_marker_density", "contrast")])} FROM {{doc}} d LEFT JOIN t ON d.doc_id = t.doc_id"""
-
-_REL9 = [f"r{k}" for k in range(1, 10)]
-_HIT = f"m AS (SELECT /*+ BROADCAST(l) */ t.doc_id, t.sent, t.pos, CASE WHEN l.rel = 5 AND (l.bits & {bit('broad')}) <> 0 AND w.n < 8 THEN 0 ELSE coalesce(l.rel, 0) END AS rel FROM {{tok}} t LEFT JOIN {{lex}} l ON t.word = l.word JOIN (SELECT doc_id, sent, count(*) AS n FROM {{tok}} GROUP BY doc_id, sent) w ON t.doc_id = w.doc_id AND t.sent = w.sent)"
-EXT_RST = f"""WITH {_HIT}, f AS (SELECT doc_id, sent, rel, min(pos) AS p FROM m WHERE rel > 0 GROUP BY doc_id, sent, rel UNION ALL SELECT q.doc_id, q.sent, 5 AS rel, 1000000000 AS p FROM {{cue}} q WHERE q.xgloss = 1),
-g AS (SELECT doc_id, sent, rel, min(p) AS p FROM f GROUP BY doc_id, sent, rel),
-dom AS (SELECT doc_id, sent, rel, row_number() OVER (PARTITION BY doc_id, sent ORDER BY p) AS k FROM g),
-seq AS (SELECT q.doc_id, q.sent, dom.rel, lag(dom.rel) OVER (PARTITION BY q.doc_id ORDER BY q.sent) AS prev FROM {{cue}} q LEFT JOIN dom ON q.doc_id = dom.doc_id AND q.sent = dom.sent AND dom.k = 1),
+_HIT = f"m AS (SELECT t.doc_id, t.sent, t.pos, CASE WHEN l.rel = 5 AND (l.bits & {bit('broad')}) <> 0 AND w.n < 8 THEN 0 ELSE coalesce(l.rel, 0) END AS rel FROM tok t LEFT JOIN lex l ON t.word = l.word JOIN (SELECT doc_id, sent, count(*) AS n FROM tok GROUP BY doc_id, sent) w ON t.doc_id = w.doc_id AND t.sent = w.sent)"
+_LOGS = "sum(c * log2(CAST(c AS DOUBLE)))"
+#: part -> (common table expressions, of which the last has one row per document; its columns)
+WIDE_SQL: dict[str, tuple[str, str]] = {
+    "counts": (_COUNTS.replace("{{freq}}", "freq").replace("{{lex}}", "lex").replace("{freq}", "freq").replace("{lex}", "lex"), "counts"),
+    "len": (
+        f"""sl AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM sen), slb AS (SELECT doc_id, {_LOGS} AS sb_s FROM (SELECT doc_id, CASE WHEN n <= 5 THEN 1 WHEN n <= 10 THEN 2 WHEN n <= 15 THEN 3 WHEN n <= 20 THEN 4 WHEN n <= 30 THEN 5 ELSE 6 END AS bin, count(*) AS c FROM sl GROUP BY 1, 2) GROUP BY doc_id),
+lens AS (SELECT sl.doc_id, count(*) AS len_m, sum(n) AS len_s1, sum(n * n) AS len_s2, max(sb_s) AS sb_s FROM sl JOIN slb ON sl.doc_id = slb.doc_id GROUP BY sl.doc_id)""",
+        "lens",
+    ),
+    "cue": (
+        f"""cs AS (SELECT q.doc_id, q.sent, {", ".join(f"CASE WHEN (coalesce(l.bits, 0) & {bit(x)}) <> 0 AND ((coalesce(l.bits, 0) & {bit('init_only')}) = 0 OR q.first_word = q.marker)" + (f" AND ((coalesce(l.bits, 0) & {bit('broad')}) = 0 OR q.blanks >= 8)" if x == "i_elab" else "") + f" THEN 1 ELSE 0 END AS {x}" for x in _CATS)}, q.but, q.gloss FROM cue q LEFT JOIN lex l ON q.marker = l.word),
+cues AS (SELECT doc_id, sum(greatest(i_elab, gloss)) AS elaboration, sum(greatest(i_contrast, but)) AS contrast, sum(greatest(i_elab, gloss) + greatest(i_contrast, but) + i_cause + i_result + i_cond + i_joint) AS markers FROM cs GROUP BY doc_id)""",
+        "cues",
+    ),
+    "rel": (
+        f"""{_HIT}, rf AS (SELECT doc_id, sent, rel, min(pos) AS p FROM m WHERE rel > 0 GROUP BY doc_id, sent, rel UNION ALL SELECT q.doc_id, q.sent, 5 AS rel, 1000000000 AS p FROM cue q WHERE q.xgloss = 1),
+rg AS (SELECT doc_id, sent, rel, min(p) AS p FROM rf GROUP BY doc_id, sent, rel),
+dom AS (SELECT doc_id, sent, rel, row_number() OVER (PARTITION BY doc_id, sent ORDER BY p) AS k FROM rg),
+seq AS (SELECT q.doc_id, q.sent, dom.rel, lag(dom.rel) OVER (PARTITION BY q.doc_id ORDER BY q.sent) AS prev FROM cue q LEFT JOIN dom ON q.doc_id = dom.doc_id AND q.sent = dom.sent AND dom.k = 1),
 isl AS (SELECT doc_id, sent, rel, prev, sum(CASE WHEN rel = prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM seq),
-runs AS (SELECT doc_id, run, count(*) AS n FROM isl WHERE rel IS NOT NULL GROUP BY doc_id, run), deep AS (SELECT doc_id, max(n) AS n FROM runs GROUP BY doc_id),
+runs AS (SELECT doc_id, run, count(*) AS n FROM isl WHERE rel IS NOT NULL GROUP BY doc_id, run), dp AS (SELECT doc_id, max(n) AS deep FROM runs GROUP BY doc_id),
 br AS (SELECT doc_id, sum(CASE WHEN rel IS NOT NULL AND prev IS NOT NULL THEN 1 ELSE 0 END) AS pairs, sum(CASE WHEN rel <> prev THEN 1 ELSE 0 END) AS switches FROM seq GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS total, {", ".join(f"sum(CASE WHEN rel = {k} THEN 1 ELSE 0 END) AS r{k}" for k in range(1, 10))} FROM g GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce({r(f't.r{k + 1} / CAST(nullif(d.n_sent, 0) AS DOUBLE)')}, 0.0) AS {name}_density" for k, name in enumerate(RELATIONS))}, coalesce({r("t.total / CAST(nullif(d.n_sent, 0) AS DOUBLE)")}, 0.0) AS total_marker_density,
-  coalesce({r("(" + entropy(_REL9, "t.total") + ") / log2(CAST(9 AS DOUBLE))")}, 0.0) AS relation_diversity, coalesce({r("br.switches / CAST(nullif(br.pairs, 0) AS DOUBLE)")}, 0.0) AS branching_score, coalesce({r("deep.n / CAST(nullif(d.n_sent, 0) AS DOUBLE)")}, 0.0) AS max_depth_score
-FROM {{doc}} d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN br ON d.doc_id = br.doc_id LEFT JOIN deep ON d.doc_id = deep.doc_id"""
+rt AS (SELECT doc_id, count(*) AS rel_total, {", ".join(f"sum(CASE WHEN rel = {k} THEN 1 ELSE 0 END) AS r{k}" for k in range(1, 10))} FROM rg GROUP BY doc_id),
+rels AS (SELECT br.doc_id, pairs, switches, deep, rt.* EXCLUDE (doc_id) FROM br LEFT JOIN dp ON br.doc_id = dp.doc_id LEFT JOIN rt ON br.doc_id = rt.doc_id)""",
+        "rels",
+    ),
+    "stems": (
+        f"""st AS (SELECT doc_id, stem, sent, count(*) AS c FROM (SELECT t.doc_id, t.sent, t.word, l.bits, {_STEM.replace("word", "t.word")} AS stem FROM tok t LEFT JOIN lex l ON t.word = l.word) x WHERE length(word) >= 3 AND (coalesce(bits, 0) & {bit("stop")}) = 0 GROUP BY doc_id, stem, sent),
+ss AS (SELECT doc_id, stem, sum(c) AS c, count(*) AS m, min(sent) AS lo, max(sent) AS hi FROM st GROUP BY doc_id, stem),
+stemmed AS (SELECT doc_id, sum(c) AS st_n, count(*) AS stems, sum(CASE WHEN m >= 2 THEN 1 ELSE 0 END) AS again, sum(CASE WHEN m >= 3 THEN 1 ELSE 0 END) AS chains, sum(CASE WHEN m >= 3 THEN hi - lo ELSE 0 END) AS span FROM ss GROUP BY doc_id)""",
+        "stemmed",
+    ),
+    "spread": (
+        f"""mw AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id, word ORDER BY pos) AS prev FROM tok),
+ms AS (SELECT mw.doc_id, sum(greatest(0, least(mw.pos, d.n_words - 100) - greatest(mw.pos - 99, coalesce(mw.prev + 1, 0), 0) + 1)) AS mattr_total FROM mw JOIN doc d ON mw.doc_id = d.doc_id WHERE d.n_words >= {MIN_WORDS} GROUP BY mw.doc_id),
+bg AS (SELECT doc_id, pos, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM tok),
+bs AS (SELECT doc_id, {_LOGS} AS bg_s FROM (SELECT doc_id, word, next, count(*) AS c FROM bg WHERE next IS NOT NULL GROUP BY doc_id, word, next) GROUP BY doc_id),
+bo AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, word, next ORDER BY pos) AS k FROM bg WHERE next IS NOT NULL),
+bq AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc_id) AS m FROM bo WHERE k = 2), bh AS (SELECT doc_id, min(pos) AS half_pos FROM bq WHERE 2 * i >= m GROUP BY doc_id),
+ranked AS (SELECT doc_id, word, c, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, p) AS k FROM freq WHERE length(word) >= 3), top AS (SELECT doc_id, word FROM ranked WHERE k <= 20 AND c >= 3),
+gaps AS (SELECT t.doc_id, t.word, pos - lag(pos) OVER (PARTITION BY t.doc_id, t.word ORDER BY pos) AS gap FROM tok t JOIN top ON t.doc_id = top.doc_id AND t.word = top.word),
+gone AS (SELECT doc_id, word, avg(gap) AS mu, stddev_pop(gap) AS sigma FROM gaps WHERE gap IS NOT NULL GROUP BY doc_id, word), two AS (SELECT doc_id, avg((sigma - mu) / (sigma + mu)) AS burst FROM gone GROUP BY doc_id),
+spreads AS (SELECT bs.doc_id, mattr_total, bg_s, half_pos, burst FROM bs LEFT JOIN ms ON bs.doc_id = ms.doc_id LEFT JOIN bh ON bs.doc_id = bh.doc_id LEFT JOIN two ON bs.doc_id = two.doc_id)""",
+        "spreads",
+    ),
+    "letters": (
+        f"""lh AS (SELECT doc_id, half, ch, count(*) AS c FROM letters GROUP BY doc_id, half, ch), lw AS (SELECT doc_id, ch, sum(c) AS c FROM lh GROUP BY doc_id, ch), la AS (SELECT doc_id, sum(c) AS ch_n, {_LOGS} AS ch_s FROM lw GROUP BY doc_id),
+le AS (SELECT doc_id, half, log2(CAST(sum(c) AS DOUBLE)) - {_LOGS} / sum(c) AS e FROM lh GROUP BY doc_id, half),
+lettered AS (SELECT la.doc_id, ch_n, ch_s, drift FROM la JOIN (SELECT doc_id, abs(coalesce(sum(CASE WHEN half = 0 THEN e END), 0.0) - coalesce(sum(CASE WHEN half = 1 THEN e END), 0.0)) AS drift FROM le GROUP BY doc_id) p ON la.doc_id = p.doc_id)""",
+        "lettered",
+    ),
+}
+
+
+def wide_sql(parts: tuple[str, ...]) -> str:
+    """The common table expressions up to wide, with the parts asked for."""
+    names = [WIDE_SQL[p][1] for p in parts]
+    own = ", ".join(["d.*", *(f"{n}.* EXCLUDE (doc_id)" for n in names)])
+    made = [WIDE_SQL[p][0] for p in parts]
+    odd = "(length(d.text) - length(replace(d.text, '\"', ''))) % 2 = 1 OR length(replace(d.text, '“', '')) <> length(replace(d.text, '”', ''))"
+    return ", ".join([*made, f"wide AS (SELECT {own}, {odd} AS odd_quotes FROM doc d " + " ".join(f"LEFT JOIN {n} ON d.doc_id = {n}.doc_id" for n in names) + ")"])
+
 
 _RULES = ["default", "lexicon_mental", "lexicon_verbal", "lexicon_copula_be", "lexicon_relational", "lexicon_behavioral", "lexicon_material", "denylist_plural_noun", "denylist_adjectival_participle", "denylist_non_process"]
 _SHOWN = ["none", "mental", "verbal", "relational", "relational", "behavioral", "material", "none", "none", "none"]

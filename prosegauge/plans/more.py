@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import words
 from ..operators import columns, reference, sequential
-from .base import cleaned, relations
+from .base import cleaned
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,8 +90,7 @@ REGISTER = ["lexical_novelty", "sentence_length_variance", "modal_density", "neg
 def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import queries
 
-    rel = relations(_table(spark, sf_dir, "documents"), keep=("lang",))
-    return spark.sql(queries._fill(queries.FEAT, queries.SPARK), **rel)
+    return queries.feat(_table(spark, sf_dir, "documents"))
 
 
 def reference_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +100,7 @@ def reference_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread have no reference; their documents get the nearest of the others and
     the match "no_reference".
     """
-    feat = _register(spark, sf_dir).select("doc_id", "lang", *REGISTER).cache()
+    feat = _register(spark, sf_dir).select("doc_id", "lang", *REGISTER)
     refs = reference.fit_groups(feat, REGISTER, "lang")
     known = spark.createDataFrame([(r["name"],) for r in refs], "__lang string")
     found = reference.nearest(feat, REGISTER, refs).join(known, F.col("lang") == F.col("__lang"), "left")

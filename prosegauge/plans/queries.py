@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import words
+from ..operators import wide
+from ..sources.tables import written
 from . import base, control, features as X, trajectory as J
 
 # ---- relations that only some queries need
@@ -36,18 +39,6 @@ _OFF = r"^\s*#|\||^\s*(?:[-*+]|\d+\.)\s+|^[\s\-*_=]*$"
 _CODE = r"`[^`\n]*`"
 
 
-def cue(sen: DataFrame) -> DataFrame:
-    """Sentence-level cues: the first word, a contrasting "but" inside, glosses on prose lines, and the extended view's glosses."""
-    text = F.col("text")
-    lower = F.lower(text)
-    bare = F.regexp_replace(lower, r"^[ ,;:—-]+", "")
-    prose = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.regexp_like(x, F.lit(_OFF))), "\n")
-    step = sen.select("doc_id", "sent", "text", F.regexp_extract(bare, r"^([^ ,]+)[ ,]", 1).alias("marker"), F.regexp_replace(F.regexp_extract(bare, r"^(\S*)", 1), r"[,.;:!?]+$", "").alias("first_word"), T.blank_words(text).cast("long").alias("blanks"), F.regexp_extract_all(lower, F.lit(_BUT), F.lit(1)).alias("b"), F.regexp_replace(prose, _CODE, " ").alias("scrubbed"))
-    s, like = F.col("scrubbed"), lambda c, p: F.regexp_like(c, F.lit(p))
-    gloss = like(s, _cues(_STRONG)) | ((T.blank_words(s) >= 8) & like(s, _cues(words("rst_elaboration_broad")))) | like(s, _DASH) | like(s, _COLON)
-    return step.select("doc_id", "sent", "marker", "first_word", "blanks", F.exists("b", lambda w: ~w.isin(_TRIGGERS)).cast("int").alias("but"), gloss.cast("int").alias("gloss"), (like(text, _XDASH) | like(text, _XCOLON)).cast("int").alias("xgloss"))
-
-
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -60,32 +51,16 @@ CUE_SQL = f"""cue AS (SELECT doc_id, sent, regexp_extract({_BARE_SQL}, '^([^ ,]+
   CASE WHEN regexp_matches(text, {_q(_XDASH)}) OR regexp_matches(text, {_q(_XCOLON)}) THEN 1 ELSE 0 END AS xgloss FROM (SELECT *, {_PROSE_SQL} AS scrubbed FROM sen) x)"""
 
 
-def letters(doc: DataFrame) -> DataFrame:
-    """doc_id, half, ch: the letters of each half of the text, in lower case."""
-    mid = F.floor(F.col("n_chars") / 2).cast("int")
-    halves = F.array(F.substring("text", F.lit(1), mid), F.expr("substring(text, cast(floor(n_chars / 2) as int) + 1)"))
-    only = F.transform(halves, lambda h: F.regexp_replace(F.lower(h), r"\P{L}", ""))
-    return doc.select("doc_id", F.posexplode(only).alias("half", "h")).select("doc_id", "half", F.explode(F.split("h", "")).alias("ch")).where("ch <> ''")
-
-
 LETTERS_SQL = r"letters AS (SELECT doc_id, half, unnest(string_split(h, '')) AS ch FROM (SELECT doc_id, 0 AS half, regexp_replace(lower(substr(text, 1, n_chars // 2)), '\P{L}', '', 'g') AS h FROM doc UNION ALL SELECT doc_id, 1, regexp_replace(lower(substr(text, n_chars // 2 + 1)), '\P{L}', '', 'g') FROM doc) x WHERE h <> '')"
 
 
-def blank_words(doc: DataFrame) -> DataFrame:
-    return doc.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[^{T.SPACE}]+"), F.lit(0))).alias("k", "w")).withColumn("k", F.col("k").cast("long"))
-
-
-def blank_tokens(ww: DataFrame) -> DataFrame:
-    return ww.select("doc_id", "k", F.explode(T.words(F.col("w"))).alias("word"))
-
-
 WW_SQL = f"ww AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS w FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS l FROM doc) x), wt AS (SELECT doc_id, k, lower(unnest(regexp_extract_all(w, {_q(T.WORD)}))) AS word FROM ww)"
 
 #: Fragments that the engines spell differently.
-SPARK = {"blank_count": f"regexp_count(text, '[^{T.SPACE}]+')".replace("\\", "\\\\"), "ends": "before RLIKE '[.!?]$'", "capital": "w RLIKE '^[A-Z]'", "short": "lower(regexp_replace(before, '[.]+$', ''))", "odd_quotes": "(length(d.text) - length(replace(d.text, '\"', ''))) % 2 = 1 OR length(replace(d.text, '“', '')) <> length(replace(d.text, '”', ''))"} | {f"percentile_{p}": f"percentile(v, {p / 100})" for p in (5, 25, 50, 75, 95)} | {"percentile_x95": "percentile(x, 0.95)"}
+SPARK = {"blank_count": f"regexp_count(text, '[^{T.SPACE}]+')".replace("\\", "\\\\"), "ends": "before RLIKE '[.!?]$'", "capital": "w RLIKE '^[A-Z]'", "short": "lower(regexp_replace(before, '[.]+$', ''))"} | {f"percentile_{p}": f"percentile(v, {p / 100})" for p in (5, 25, 50, 75, 95)} | {"percentile_x95": "percentile(x, 0.95)"}
 DUCK = SPARK | {"blank_count": "len(regexp_extract_all(text, '\\S+'))", "ends": "regexp_matches(before, '[.!?]$')", "capital": "regexp_matches(w, '^[A-Z]')", "short": "lower(rtrim(before, '.'))"} | {f"percentile_{p}": f"quantile_cont(v, {p / 100}::DOUBLE)" for p in (5, 25, 50, 75, 95)} | {"percentile_x95": "quantile_cont(x, 0.95::DOUBLE)"}
 
-READING = f"SELECT s.doc_id, s.process_proxy_entropy, s.stative_active_ratio, s.projection_frequency, t.marker_density, t.elaboration_marker_density, t.contrast_marker_density, c.type_token_ratio, c.pronoun_density, c.lexical_repetition, g.lexical_novelty, g.sentence_length_variance, g.modal_density, g.negation_density FROM ({X.SFL}) s JOIN ({X.RST}) t ON s.doc_id = t.doc_id JOIN ({X.COHESION}) c ON s.doc_id = c.doc_id JOIN ({X.REGISTER}) g ON s.doc_id = g.doc_id"
+READING = f"SELECT d.doc_id, {X.fields(X.SFL)}, {X.fields(X.RST)}, {X.fields(X.COHESION)}, {X.fields(X.REGISTER)} FROM {{wide}} d"
 
 _AXES = [
     ("sfl_process_complexity", "s.process_proxy_entropy", 1.13, 2.46, "(" + " + ".join(f"(CASE WHEN e.pct_{x} > 0 THEN -e.pct_{x} * log2(e.pct_{x}) ELSE 0.0 END)" for x in X.EXTENDED[1:]) + ")", 1.13, 2.46),
@@ -94,8 +69,12 @@ _AXES = [
     ("cohesion_repetition", "c.lexical_repetition", 0.07, 0.49, "h.lexical_repetition_rate", 0.08, 0.52),
     ("register_modality", "g.modal_density", 0.0, 2.45, "(e.modal_density + e.hedge_density)", 0.0, 4.9),
 ]
-_PAIRS = f"SELECT s.doc_id, {', '.join(f'{a} AS a{k}, {b} AS b{k}' for k, (_, a, _, _, b, _, _) in enumerate(_AXES))} FROM ({X.SFL}) s JOIN ({X.RST}) t ON s.doc_id = t.doc_id JOIN ({X.COHESION}) c ON s.doc_id = c.doc_id JOIN ({X.REGISTER}) g ON s.doc_id = g.doc_id JOIN ({X.EXT_SFL}) e ON s.doc_id = e.doc_id JOIN ({X.EXT_RST}) x ON s.doc_id = x.doc_id JOIN ({X.EXT_COHESION}) h ON s.doc_id = h.doc_id"
-_ONE = "{u} AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS axis, CASE WHEN a{k} IS NOT NULL THEN round(least(1.0, greatest(0.0, (a{k} - {lo}) / ({hi} - {lo}))), 7) END AS flat, round(least(1.0, greatest(0.0, (b{k} - {lo2}) / ({hi2} - {lo2}))), 7) AS wide FROM pairs" for k, (n, _, lo, hi, _, lo2, hi2) in enumerate(_AXES)) + ")"
+_bare = lambda x: re.sub(r"\b[a-z]\.(?=[a-z])", "", x)
+_COMPACT = f"SELECT d.*, {X.fields(X.SFL)}, {X.fields(X.RST)}, {X.fields(X.COHESION)}, {X.fields(X.REGISTER)} FROM {{wide}} d"
+_BOTH = f"SELECT d.doc_id, {', '.join(f'd.{_bare(a)} AS a{k}' for k, (_, a, *_) in enumerate(_AXES))}, {X.fields(X.EXT_SFL)}, {X.fields(X.EXT_RST)}, {X.fields(X.EXT_COHESION)} FROM ({_COMPACT}) d"
+_PAIRS = f"SELECT doc_id, {', '.join(f'a{k}, {_bare(b)} AS b{k}' for k, (_, _, _, _, b, _, _) in enumerate(_AXES))} FROM ({_BOTH}) both_views"
+# values of eight digits divided by limits of two can lie on a tie of the seventh digit: a little more settles it
+_ONE = "{u} AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS axis, CASE WHEN a{k} IS NOT NULL THEN round(least(1.0, greatest(0.0, (a{k} - {lo}) / ({hi} - {lo}))) + 1e-10, 7) END AS flat, round(least(1.0, greatest(0.0, (b{k} - {lo2}) / ({hi2} - {lo2}))) + 1e-10, 7) AS wide FROM pairs" for k, (n, _, lo, hi, _, lo2, hi2) in enumerate(_AXES)) + ")"
 _AXIS = f"WITH pairs AS ({_PAIRS}), {_ONE.replace('{u}', 'u')}, ax AS (SELECT doc_id, axis, flat, CASE WHEN flat IS NOT NULL THEN wide END AS wide, CASE WHEN flat IS NULL THEN 'incomparable' WHEN round(1 - abs(flat - wide), 7) < 0.8 THEN 'diverge' WHEN (flat + wide) / 2 >= 0.66 THEN 'agree_high' WHEN (flat + wide) / 2 <= 0.33 THEN 'agree_low' ELSE 'agree_mid' END AS direction FROM u)"
 CONVERGENCE = f"{_AXIS} SELECT doc_id, axis, flat, wide, direction FROM ax"
 COHERENCE = f"""{_AXIS}, k AS (SELECT doc_id, sum(CASE WHEN direction LIKE 'agree%' THEN 1 ELSE 0 END) AS agree5, sum(CASE WHEN direction = 'diverge' THEN 1 ELSE 0 END) AS diverge5, sum(CASE WHEN direction LIKE 'agree%' AND axis <> 'cohesion_repetition' THEN 1 ELSE 0 END) AS agree, sum(CASE WHEN direction <> 'incomparable' AND axis <> 'cohesion_repetition' THEN 1 ELSE 0 END) AS measurable FROM ax GROUP BY doc_id)
@@ -103,24 +82,27 @@ SELECT doc_id, CAST(agree AS BIGINT) AS n_agree, CAST(measurable AS BIGINT) AS n
   CASE WHEN agree5 >= 4 THEN 'converge' WHEN diverge5 >= 4 THEN 'diverge' ELSE 'mixed' END AS overall FROM k"""
 
 MINIMUM = "SELECT lang, count(*) AS documents, CAST(sum(n_words) AS BIGINT) AS words, round(avg(modal_density), 6) AS modal_density, round(avg(lexical_novelty), 6) AS lexical_novelty FROM {feat} WHERE n_words >= 150 GROUP BY lang"
-COHORTS = "SELECT lang, CASE WHEN n_words < 2000 THEN 'short' WHEN n_words < 8000 THEN 'medium' ELSE 'long' END AS cohort, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS words FROM {doc} GROUP BY lang, CASE WHEN n_words < 2000 THEN 'short' WHEN n_words < 8000 THEN 'medium' ELSE 'long' END"
-SOFT = "SELECT doc_id, n_words < 60 AS below_hard_floor, n_words < 120 AS joint_cosine_unreliable, n_words < 200 AS rst_unreliable FROM {doc}"
+COHORTS = "SELECT lang, CASE WHEN n_words < 2000 THEN 'short' WHEN n_words < 8000 THEN 'medium' ELSE 'long' END AS cohort, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS words FROM {wide} GROUP BY lang, CASE WHEN n_words < 2000 THEN 'short' WHEN n_words < 8000 THEN 'medium' ELSE 'long' END"
+SOFT = "SELECT doc_id, n_words < 60 AS below_hard_floor, n_words < 120 AS joint_cosine_unreliable, n_words < 200 AS rst_unreliable FROM {wide}"
 
 _SCALED = {k: f"ln(1 + {k})" if k == "sentence_length_variance" else k for k in X.SCALES}
 EMBEDDING = f"SELECT doc_id, {', '.join(f'CASE WHEN {k} IS NOT NULL THEN round(least(1.0, greatest(0.0, {_SCALED[k]} / {top})), 5) END AS {k}' for k, top in X.SCALES.items())} FROM ({READING}) reading"
 
-#: name -> (SQL, relations beyond the base ones)
+_JOINT = ("counts", "len", "cue")
+_VIEWS = ("counts", "len", "cue", "rel", "stems")
+_FEAT = ("counts", "len", "feat")
+#: name -> (SQL, the parts of {wide} that it reads and relations beyond)
 SHARED: dict[str, tuple[str, tuple[str, ...]]] = {
-    "doc_word_counts": (X.WORD_COUNTS, ()), "cohesion_compact": (X.COHESION, ()), "register_compact": (X.REGISTER, ()), "sfl_compact": (X.SFL, ()), "sfl_trace_counts": (X.SFL_TRACE, ()), "rst_compact": (X.RST, ("cue",)), "stylometry": (X.STYLOMETRY, ()),
-    "dist_types": (X.DIST_TYPES, ()), "dist_mattr": (X.DIST_MATTR, ()), "dist_bigram_entropy": (X.DIST_BIGRAM, ()), "dist_halflife": (X.DIST_HALFLIFE, ()), "dist_burstiness": (X.DIST_BURSTINESS, ()), "dist_sentence_entropy": (X.DIST_SENTENCES, ()), "dist_char_entropy": (X.DIST_CHARS, ("letters",)),
-    "ext_sfl": (X.EXT_SFL, ()), "ext_rst": (X.EXT_RST, ("cue",)), "ext_cohesion": (X.EXT_COHESION, ()), "compact_reading": (READING, ("cue",)), "convergence_axes": (CONVERGENCE, ("cue",)), "coherence": (COHERENCE, ("cue",)),
+    "doc_word_counts": (X.WORD_COUNTS, ()), "cohesion_compact": (X.COHESION, ("counts",)), "register_compact": (X.REGISTER, ("counts", "len")), "sfl_compact": (X.SFL, ("counts",)), "sfl_trace_counts": (X.SFL_TRACE, ("counts",)), "rst_compact": (X.RST, ("cue",)), "stylometry": (X.STYLOMETRY, ()),
+    "dist_types": (X.DIST_TYPES, ("counts",)), "dist_mattr": (X.DIST_MATTR, ("spread",)), "dist_bigram_entropy": (X.DIST_BIGRAM, ("spread",)), "dist_halflife": (X.DIST_HALFLIFE, ("spread",)), "dist_burstiness": (X.DIST_BURSTINESS, ("spread",)), "dist_sentence_entropy": (X.DIST_SENTENCES, ("len",)), "dist_char_entropy": (X.DIST_CHARS, ("letters",)),
+    "ext_sfl": (X.EXT_SFL, ("counts",)), "ext_rst": (X.EXT_RST, ("rel",)), "ext_cohesion": (X.EXT_COHESION, ("counts", "stems")), "compact_reading": (READING, _JOINT), "convergence_axes": (CONVERGENCE, (*_VIEWS, "written")), "coherence": (COHERENCE, (*_VIEWS, "written")),
     "chunker_slices": (J.SLICES, ("ww",)), "trajectory_chunker": (J.TRAJECTORY, ("ww",)), "slice_deltas": (J.DELTAS, ("ww", "traj")), "arc_summary": (J.ARC, ("ww", "traj")), "slice_labels": (J.LABELS, ("ww", "traj")), "flags_summary": (J.FLAGS, ("ww", "traj")),
-    "sfl_token_trace": (X.TOKEN_TRACE, ()), "top_words": (X.TOP_WORDS, ()), "flat_embedding": (EMBEDDING, ("cue",)), "distance_envelope": (control.ENVELOPE, ("feat",)), "spc_summary": (control.SUMMARY, ("feat", "charts")),
-    "words_by_lang": (MINIMUM, ("feat",)), "length_cohorts": (COHORTS, ()), "soft_flags": (SOFT, ()), "reference_feature_stats": (control.REFERENCE, ("feat",)), "zscore_distance": (control.DISTANCE, ("feat",)), "distance_midrank": (control.MIDRANK, ("feat",)), "feature_bh": (control.BH, ("feat",)), "cv_fold_ids": (control.FOLDS, ("feat",)),
-    "spc_individuals": (control.INDIVIDUALS, ("feat",)), "spc_cusum": (control.CUSUM, ("feat",)), "spc_ewma": (control.EWMA, ("feat",)), "length_spearman": (control.SPEARMAN, ("feat",)), "detection_rate": (control.DETECTION, ("feat",)), "quality_label_contrast": (control.CONTRAST, ("feat", "labels")),
+    "sfl_token_trace": (X.TOKEN_TRACE, ("words",)), "top_words": (X.TOP_WORDS, ("words",)), "flat_embedding": (EMBEDDING, _JOINT), "distance_envelope": (control.ENVELOPE, _FEAT), "spc_summary": (control.SUMMARY, (*_FEAT, "charts")),
+    "words_by_lang": (MINIMUM, _FEAT), "length_cohorts": (COHORTS, ()), "soft_flags": (SOFT, ()), "reference_feature_stats": (control.REFERENCE, _FEAT), "zscore_distance": (control.DISTANCE, _FEAT), "distance_midrank": (control.MIDRANK, _FEAT), "feature_bh": (control.BH, _FEAT), "cv_fold_ids": (control.FOLDS, _FEAT),
+    "spc_individuals": (control.INDIVIDUALS, _FEAT), "spc_cusum": (control.CUSUM, _FEAT), "spc_ewma": (control.EWMA, _FEAT), "length_spearman": (control.SPEARMAN, _FEAT), "detection_rate": (control.DETECTION, _FEAT), "quality_label_contrast": (control.CONTRAST, (*_FEAT, "labels")),
 }
 
-FEAT = f"SELECT d.lang, d.n_words, g.* FROM {{doc}} d JOIN ({X.REGISTER}) g ON d.doc_id = g.doc_id"
+FEAT = f"SELECT d.doc_id, d.lang, d.n_words, {X.fields(X.REGISTER)} FROM {{wide}} d"
 
 
 def _fill(sql: str, names: dict[str, str]) -> str:
@@ -129,23 +111,37 @@ def _fill(sql: str, names: dict[str, str]) -> str:
     return sql
 
 
+def _trajectory(docs: DataFrame) -> DataFrame:
+    values = [F.round(c, X.D).alias(c) for c in J.DIMENSIONS]
+    return wide.curves(docs).select("doc_id", "slice", "n_slices", *values)
+
+
+def feat(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, n_words and the register features of every document, written once: {feat} is read several times."""
+    rows = wide.wide(docs, frozenset(("counts", "len")), keep=("lang",))
+    return written(docs.sparkSession.sql(_fill(FEAT, SPARK), wide=rows), "feat")
+
+
 def run(spark: SparkSession, name: str, docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """One shared query over a table of documents (doc_id, text, lang)."""
     sql, more = SHARED[name]
-    rel = base.relations(docs, keep=("lang",) if "lang" in docs.columns else ())
-    if "cue" in more:
-        rel["cue"] = cue(rel["sen"])
-    if "letters" in more:
-        rel["letters"] = letters(rel["doc"])
-    if "ww" in more:
-        rel["ww"] = blank_words(rel["doc"])
-        rel["wt"] = blank_tokens(rel["ww"])
+    if name == "chunker_slices":
+        return wide.curves(docs).select("doc_id", "slice", "n_slices", "words", "first_word", "last_word")
+    if name == "trajectory_chunker":
+        return _trajectory(docs)
+    if "words" in more:
+        return spark.sql(_fill(sql, SPARK), **base.relations(docs))
+    rel = {}
+    if "{wide}" in sql:
+        rel["wide"] = wide.wide(docs, frozenset(more) & frozenset(wide.COLUMNS), keep=("lang",) if "lang" in docs.columns else ())
+        if "written" in more:
+            rel["wide"] = written(rel["wide"], "wide")
     if labels is not None:
         rel["labels"] = labels
     if "traj" in more:
-        rel["traj"] = spark.sql(_fill(J.TRAJECTORY, SPARK), **rel)
+        rel["traj"] = written(_trajectory(docs), "trajectory")
     if "feat" in more:
-        rel["feat"] = spark.sql(_fill(FEAT, SPARK), **rel)
+        rel["feat"] = feat(docs)
     if "charts" in more:
         rel |= {k: spark.sql(_fill(q, SPARK), **rel) for k, q in (("ewma", control.EWMA), ("cusum", control.CUSUM), ("individuals", control.INDIVIDUALS))}
     return spark.sql(_fill(sql, SPARK), **rel)
@@ -154,8 +150,8 @@ def run(spark: SparkSession, name: str, docs: DataFrame, labels: DataFrame | Non
 def _other(name: str) -> str:
     sql, more = SHARED[name]
     parts = [base.base_sql(keep=("lang",)).strip()]
-    plain = {k: k for k in "doc sen tok freq lex cue letters ww wt traj feat labels ewma cusum individuals".split()}
-    if "cue" in more:
+    plain = {k: k for k in "doc sen tok freq lex cue letters ww wt traj feat labels ewma cusum individuals wide".split()}
+    if {"cue", "rel"} & {*more}:
         parts.append(CUE_SQL)
     if "letters" in more:
         parts.append(LETTERS_SQL)
@@ -163,6 +159,7 @@ def _other(name: str) -> str:
         parts.append(WW_SQL)
     if "traj" in more:
         parts.append(f"traj AS ({_fill(J.TRAJECTORY, DUCK | plain)})")
+    parts.append(X.wide_sql(tuple(p for p in more if p in X.WIDE_SQL)))
     if "feat" in more:
         parts.append(f"feat AS ({_fill(FEAT, DUCK | plain)})")
     if "charts" in more:

@@ -38,14 +38,15 @@ FROM var v LEFT JOIN dens d ON v.doc_id = d.doc_id AND v.slice = d.slice LEFT JO
 DIMENSIONS = ["novelty", "variance", "modal", "negation"]
 _BY = "(PARTITION BY doc_id ORDER BY slice)"
 _UP = "(PARTITION BY doc_id ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_PREV = f"max(novelty) OVER (PARTITION BY doc_id ORDER BY slice ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING)"
 
 DELTAS = f"SELECT doc_id, slice, {', '.join(f'{r(f'{x} - lag({x}) OVER {_BY}')} AS {x}_delta' for x in DIMENSIONS)} FROM {{traj}}"
 
 _LONG = " UNION ALL ".join(f"SELECT doc_id, slice, '{x}' AS dimension, {x} AS v FROM {{traj}} WHERE {x} IS NOT NULL" for x in DIMENSIONS)
-ARC = f"""WITH lng AS ({_LONG}), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, dimension ORDER BY slice) - 1 AS i, v - lag(v) OVER (PARTITION BY doc_id, dimension ORDER BY slice) AS step FROM lng)
+# values have eight digits, so sums of them are exact as integers; a tenth of their last digit keeps ties from turning on an engine's last bit
+_SLOPE = "((count(*) * sum(i * u) - sum(i) * sum(u)) / CAST(nullif(count(*) * sum(i * i) - sum(i) * sum(i), 0) AS DOUBLE) / 1e8)"
+ARC = f"""WITH lng AS ({_LONG}), k AS (SELECT *, CAST(round(v * 1e8) AS BIGINT) AS u, row_number() OVER (PARTITION BY doc_id, dimension ORDER BY slice) - 1 AS i, v - lag(v) OVER (PARTITION BY doc_id, dimension ORDER BY slice) AS step FROM lng)
 SELECT doc_id, dimension, count(*) AS n, min_by(v, slice) AS start_value, max_by(v, slice) AS end_value,
-  CASE WHEN count(*) >= 2 THEN round((count(*) * sum(i * v) - sum(i) * sum(v)) / CAST(nullif(count(*) * sum(i * i) - sum(i) * sum(i), 0) AS DOUBLE), 6) END AS slope, round(max(v) - min(v), 8) AS value_range,
+  CASE WHEN count(*) >= 2 THEN round({_SLOPE} + sign({_SLOPE}) * 1e-10, 6) END AS slope, round(max(v) - min(v), 8) AS value_range,
   NOT (coalesce(max(step), 0.0) > 0 AND coalesce(min(step), 0.0) < 0) AS monotone FROM k GROUP BY doc_id, dimension"""
 
 # every slice but the first has all four values, so the previous measurable slice is the previous row
@@ -70,5 +71,5 @@ ranked AS (SELECT doc_id, d, row_number() OVER (PARTITION BY doc_id ORDER BY d)
 mid AS (SELECT doc_id, max(m) AS m, max(d) AS top, max(CASE WHEN i = CAST(floor(m / 2.0) AS BIGINT) THEN d END) AS med FROM ranked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(f.novelty_reopen, 0) AS novelty_reopen, coalesce(f.novelty_collapse, 0) AS novelty_collapse, coalesce(f.variance_spike, 0) AS variance_spike, coalesce(f.negation_cluster, 0) AS negation_cluster,
   CASE WHEN p.s1 * p.s2 < 0 AND abs(p.s1 - p.s2) >= 0.3 THEN 1 ELSE 0 END AS modal_pivot, CASE WHEN mid.m >= 2 AND mid.med > 0 AND mid.top >= 2 * mid.med THEN 1 ELSE 0 END AS register_shift,
-  CASE WHEN {{odd_quotes}} THEN 1 ELSE 0 END AS unbalanced_quotation, CASE WHEN d.n_words < {MIN_SLICE} THEN 1 ELSE 0 END AS below_envelope, CASE WHEN coalesce(f.n_slices, 1) < 2 THEN 1 ELSE 0 END AS trajectory_unmeasurable
-FROM {{doc}} d LEFT JOIN f ON d.doc_id = f.doc_id LEFT JOIN pivot2 p ON d.doc_id = p.doc_id LEFT JOIN mid ON d.doc_id = mid.doc_id"""
+  CASE WHEN d.odd_quotes THEN 1 ELSE 0 END AS unbalanced_quotation, CASE WHEN d.n_words < {MIN_SLICE} THEN 1 ELSE 0 END AS below_envelope, CASE WHEN coalesce(f.n_slices, 1) < 2 THEN 1 ELSE 0 END AS trajectory_unmeasurable
+FROM {{wide}} d LEFT JOIN f ON d.doc_id = f.doc_id LEFT JOIN pivot2 p ON d.doc_id = p.doc_id LEFT JOIN mid ON d.doc_id = mid.doc_id"""
