@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import words
-from ..operators import wide
+from ..operators import charts, ranks, wide
 from ..sources.tables import written
 from . import base, control, features as X, trajectory as J
 
@@ -57,8 +57,8 @@ LETTERS_SQL = r"letters AS (SELECT doc_id, half, unnest(string_split(h, '')) AS
 WW_SQL = f"ww AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS w FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS l FROM doc) x), wt AS (SELECT doc_id, k, lower(unnest(regexp_extract_all(w, {_q(T.WORD)}))) AS word FROM ww)"
 
 #: Fragments that the engines spell differently.
-SPARK = {"blank_count": f"regexp_count(text, '[^{T.SPACE}]+')".replace("\\", "\\\\"), "ends": "before RLIKE '[.!?]$'", "capital": "w RLIKE '^[A-Z]'", "short": "lower(regexp_replace(before, '[.]+$', ''))"} | {f"percentile_{p}": f"percentile(v, {p / 100})" for p in (5, 25, 50, 75, 95)} | {"percentile_x95": "percentile(x, 0.95)"}
-DUCK = SPARK | {"blank_count": "len(regexp_extract_all(text, '\\S+'))", "ends": "regexp_matches(before, '[.!?]$')", "capital": "regexp_matches(w, '^[A-Z]')", "short": "lower(rtrim(before, '.'))"} | {f"percentile_{p}": f"quantile_cont(v, {p / 100}::DOUBLE)" for p in (5, 25, 50, 75, 95)} | {"percentile_x95": "quantile_cont(x, 0.95::DOUBLE)"}
+SPARK = {"ends": "before RLIKE '[.!?]$'", "capital": "w RLIKE '^[A-Z]'", "short": "lower(regexp_replace(before, '[.]+$', ''))", "rid": "monotonically_increasing_id()", "unnest_percents": "explode(sequence(0, 100))"}
+DUCK = {"ends": "regexp_matches(before, '[.!?]$')", "capital": "regexp_matches(w, '^[A-Z]')", "short": "lower(rtrim(before, '.'))", "rid": "row_number() OVER ()", "unnest_percents": "unnest(generate_series(0, 100))"}
 
 READING = f"SELECT d.doc_id, {X.fields(X.SFL)}, {X.fields(X.RST)}, {X.fields(X.COHESION)}, {X.fields(X.REGISTER)} FROM {{wide}} d"
 
@@ -97,12 +97,12 @@ SHARED: dict[str, tuple[str, tuple[str, ...]]] = {
     "dist_types": (X.DIST_TYPES, ("counts",)), "dist_mattr": (X.DIST_MATTR, ("spread",)), "dist_bigram_entropy": (X.DIST_BIGRAM, ("spread",)), "dist_halflife": (X.DIST_HALFLIFE, ("spread",)), "dist_burstiness": (X.DIST_BURSTINESS, ("spread",)), "dist_sentence_entropy": (X.DIST_SENTENCES, ("len",)), "dist_char_entropy": (X.DIST_CHARS, ("letters",)),
     "ext_sfl": (X.EXT_SFL, ("counts",)), "ext_rst": (X.EXT_RST, ("rel",)), "ext_cohesion": (X.EXT_COHESION, ("counts", "stems")), "compact_reading": (READING, _JOINT), "convergence_axes": (CONVERGENCE, (*_VIEWS, "written")), "coherence": (COHERENCE, (*_VIEWS, "written")),
     "chunker_slices": (J.SLICES, ("ww",)), "trajectory_chunker": (J.TRAJECTORY, ("ww",)), "slice_deltas": (J.DELTAS, ("ww", "traj")), "arc_summary": (J.ARC, ("ww", "traj")), "slice_labels": (J.LABELS, ("ww", "traj")), "flags_summary": (J.FLAGS, ("ww", "traj")),
-    "sfl_token_trace": (X.TOKEN_TRACE, ("words",)), "top_words": (X.TOP_WORDS, ("words",)), "flat_embedding": (EMBEDDING, _JOINT), "distance_envelope": (control.ENVELOPE, _FEAT), "spc_summary": (control.SUMMARY, (*_FEAT, "charts")),
+    "sfl_token_trace": (X.TOKEN_TRACE, ("words",)), "top_words": (X.TOP_WORDS, ("words",)), "flat_embedding": (EMBEDDING, _JOINT), "distance_envelope": (control.ENVELOPE, _FEAT), "spc_summary": (control.SUMMARY, _FEAT), "quantile_grid": (control.GRID, _FEAT),
     "words_by_lang": (MINIMUM, _FEAT), "length_cohorts": (COHORTS, ()), "soft_flags": (SOFT, ()), "reference_feature_stats": (control.REFERENCE, _FEAT), "zscore_distance": (control.DISTANCE, _FEAT), "distance_midrank": (control.MIDRANK, _FEAT), "feature_bh": (control.BH, _FEAT), "cv_fold_ids": (control.FOLDS, _FEAT),
     "spc_individuals": (control.INDIVIDUALS, _FEAT), "spc_cusum": (control.CUSUM, _FEAT), "spc_ewma": (control.EWMA, _FEAT), "length_spearman": (control.SPEARMAN, _FEAT), "detection_rate": (control.DETECTION, _FEAT), "quality_label_contrast": (control.CONTRAST, (*_FEAT, "labels")),
 }
 
-FEAT = f"SELECT d.doc_id, d.lang, d.n_words, {X.fields(X.REGISTER)} FROM {{wide}} d"
+FEAT = f"SELECT {{rid}} AS rid, d.doc_id, d.lang, d.n_words, {X.fields(X.REGISTER)} FROM {{wide}} d"
 
 
 def _fill(sql: str, names: dict[str, str]) -> str:
@@ -117,11 +117,47 @@ def _trajectory(docs: DataFrame) -> DataFrame:
 
 
 def feat(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, n_words and the register features of every document, written once: {feat} is read several times."""
+    """rid, doc_id, lang, n_words and the register features of every document, written once: {feat} is read several times."""
     rows = wide.wide(docs, frozenset(("counts", "len")), keep=("lang",))
     return written(docs.sparkSession.sql(_fill(FEAT, SPARK), wide=rows), "feat")
 
 
+def _control(spark: SparkSession, sql: str, rel: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Adds the relations of control.py that a query reads to {feat}."""
+
+    def need(name: str) -> None:
+        if name in rel:
+            return
+        if name in control.RANKS:
+            source, by, value = control.RANKS[name]
+            if source == "long":
+                rel[name] = ranks.ranked(spark.sql(_fill(control.LONG, SPARK), feat=rel["feat"]), by, value)
+            else:
+                need(source)
+                rel[name] = ranks.ranked(rel[source], by, value)
+        elif name == "dist":
+            rel[name] = written(spark.sql(_fill(control.DIST, SPARK), feat=rel["feat"]), "dist")
+        elif name == "stream":
+            need("dist")
+            need("irank")
+            rel[name] = written(spark.sql(_fill(control.STREAM, SPARK), dist=rel["dist"], irank=rel["irank"]), "stream")
+        elif name == "charted":
+            need("stream")
+            rel[name] = charts.charted(rel["stream"])
+        elif name in _CHARTS:
+            if name != "individuals":
+                need("charted")
+                rel["charted"] = written(rel["charted"], "charted")
+            rel[name] = spark.sql(_fill(_CHARTS[name], SPARK), **_control(spark, _CHARTS[name], rel))
+
+    for name in re.findall(r"\{(\w+)\}", sql):
+        need(name)
+    return rel
+
+
+_CHARTS = {"ewma": control.EWMA, "cusum": control.CUSUM, "individuals": control.INDIVIDUALS}
+
+
 def run(spark: SparkSession, name: str, docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """One shared query over a table of documents (doc_id, text, lang)."""
     sql, more = SHARED[name]
@@ -142,15 +178,14 @@ def run(spark: SparkSession, name: str, docs: DataFrame, labels: DataFrame | Non
         rel["traj"] = written(_trajectory(docs), "trajectory")
     if "feat" in more:
         rel["feat"] = feat(docs)
-    if "charts" in more:
-        rel |= {k: spark.sql(_fill(q, SPARK), **rel) for k, q in (("ewma", control.EWMA), ("cusum", control.CUSUM), ("individuals", control.INDIVIDUALS))}
+        rel = _control(spark, sql, rel)
     return spark.sql(_fill(sql, SPARK), **rel)
 
 
 def _other(name: str) -> str:
     sql, more = SHARED[name]
     parts = [base.base_sql(keep=("lang",)).strip()]
-    plain = {k: k for k in "doc sen tok freq lex cue letters ww wt traj feat labels ewma cusum individuals wide".split()}
+    plain = {k: k for k in "doc sen tok freq lex cue letters ww wt traj feat labels ewma cusum individuals wide dist stream charted xrank frank grank wrank irank".split()}
     if {"cue", "rel"} & {*more}:
         parts.append(CUE_SQL)
     if "letters" in more:
@@ -162,10 +197,14 @@ def _other(name: str) -> str:
     parts.append(X.wide_sql(tuple(p for p in more if p in X.WIDE_SQL)))
     if "feat" in more:
         parts.append(f"feat AS ({_fill(FEAT, DUCK | plain)})")
-    if "charts" in more:
-        parts += [f"{k} AS ({q})" for k, q in (("ewma", "WITH RECURSIVE " + _fill(control.EWMA_SQL, DUCK | plain)), ("cusum", _fill(control.CUSUM, DUCK | plain)), ("individuals", _fill(control.INDIVIDUALS, DUCK | plain)))]
-    if name == "spc_ewma":
-        return "WITH RECURSIVE " + ", ".join(parts) + ", " + _fill(control.EWMA_SQL, DUCK | plain)
+        parts.append(f"long AS ({_fill(control.LONG, DUCK | plain)})")
+        parts.append(f"dist AS ({_fill(control.DIST, DUCK | plain)})")
+        parts += [f"{k} AS ({control.ranks_sql(source, ', '.join(by), value)})" for k, (source, by, value) in control.RANKS.items()]
+        parts.append(f"stream AS ({_fill(control.STREAM, DUCK | plain)})")
+        if {"charted", *_CHARTS} & set(re.findall(r"\{(\w+)\}", sql)):
+            parts.append(control.CHARTED_SQL)
+            parts += [f"{k} AS ({_fill(q, DUCK | plain)})" for k, q in _CHARTS.items()]
+            return "WITH RECURSIVE " + ", ".join(parts) + " SELECT * FROM (" + _fill(sql, DUCK | plain) + ") final_result"
     return "WITH " + ", ".join(parts) + " SELECT * FROM (" + _fill(sql, DUCK | plain) + ") final_result"
 
 
