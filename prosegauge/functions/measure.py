@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 from . import text as T
+from .kernels import phrase_rate, structural_slices
 from .lexicon import bit, rows, words
 
 _BOM = "\ufeff"
@@ -70,9 +71,23 @@ def unfenced(text: str) -> str:
     return "\n".join(out[:at] + lines[at:] if mark else out)
 
 
+def open_fence(text: str) -> bool:
+    """Whether a fence of canonical text is never closed."""
+    mark = ""
+    for line in text.split("\n") if "```" in text or "~~~" in text else ():
+        start = m[1] if (m := _FENCE.match(line)) else ""
+        mark = ("" if start == mark else mark) if mark else start
+    return mark != ""
+
+
 def sentences(text: str) -> list[str]:
+    return split(_PARAGRAPH.split(text) if "\n" in text else [text])
+
+
+def split(parts: list[str]) -> list[str]:
+    """The sentences of each part in order."""
     found = []
-    for part in _PARAGRAPH.split(text) if "\n" in text else (text,):
+    for part in parts:
         marked = _END.sub("\\1\uffff", part.strip())
         if ".\uffff" in marked:
             marked = _SHORT.sub(r"\1 ", marked)
@@ -319,7 +334,30 @@ def letters(text: str) -> dict:
     return {"ch_n": sum(size) or None, "ch_s": _bits(both) if sum(size) else None, "drift": abs(entropy[0] - entropy[1]) if sum(size) else None}
 
 
-PARTS = {"counts": counts, "len": lengths, "cue": cues, "rel": relations, "stems": stems, "spread": spread, "letters": letters}
+#: Subordinating phrases, those of more words first, and single words.
+PHRASES = sorted((tuple(p.split()) for p in ("even though", "as long as", "as soon as", "so that", "in order that", "provided that", "given that")), key=lambda p: (-len(p), p))
+SUBORDINATORS = frozenset("although though because since unless until when whenever where wherever while whereas before after if once whether".split())
+_BEGIN = {p[0] for p in PHRASES}
+
+
+def subordination(toks: list[list[str]]) -> dict:
+    """Subordinating phrases, which use up their words, and single words among the others."""
+    hits = 0
+    for own in toks:
+        k = 0
+        while k < len(own):
+            w = own[k]
+            size = next((len(p) for p in PHRASES if tuple(own[k : k + len(p)]) == p), 0) if w in _BEGIN else 0
+            hits += size > 0 or w in SUBORDINATORS
+            k += size or 1
+    return {"sub_hits": hits}
+
+
+def phrases(text: str) -> dict:
+    return {"lz": phrase_rate(text)}
+
+
+PARTS = {"sub": subordination, "lz": phrases, "counts": counts, "len": lengths, "cue": cues, "rel": relations, "stems": stems, "spread": spread, "letters": letters}
 
 
 def measure(text: str | None, parts: frozenset[str]) -> dict:
@@ -331,12 +369,12 @@ def measure(text: str | None, parts: frozenset[str]) -> dict:
     got = {
         "n_words": n, "n_sent": len(sents), "n_chars": len(clean), "semicolons": clean.count(";"), "commas": clean.count(","), "quotes": sum(map(clean.count, T.QUOTES)),
         "questions": sum(s.endswith("?") for s in sents), "exclaims": sum(s.endswith("!") for s in sents), "has_end": "." in clean or "!" in clean or "?" in clean, "blank_words": len(clean.split()),
-        "odd_quotes": raw.count('"') % 2 == 1 or raw.count("“") != raw.count("”"), "n_exist": 0, "n_cop": 0,
+        "open_fence": open_fence(raw), "odd_quotes": raw.count('"') % 2 == 1 or raw.count("“") != raw.count("”"), "n_exist": 0, "n_cop": 0,
     }
     if "here" in clean or "HERE" in clean:
         got["n_exist"], got["n_cop"] = len(_THERE.findall(clean)), len(_COPULA.findall(clean))
     flat = [w for own in toks for w in own] if "spread" in parts else []
-    given = {"counts": (toks,), "len": (sents,), "cue": (sents,), "rel": (sents, toks), "stems": (toks,), "spread": (flat,), "letters": (clean,)}
+    given = {"counts": (toks,), "len": (sents,), "cue": (sents,), "rel": (sents, toks), "stems": (toks,), "spread": (flat,), "letters": (clean,), "sub": (toks,), "lz": (clean,)}
     for p in parts:
         got |= PARTS[p](*given[p])
     return got
@@ -380,3 +418,23 @@ def curves(text: str | None) -> list[tuple]:
         known |= kinds
         out.append((k, slices, len(own), low, high - 1, novelty, variance, modal * 100.0 / t if t else 0.0, neg * 100.0 / t if t else 0.0))
     return out
+
+
+def elegant(text: str | None) -> list[tuple]:
+    """The row of curves() for each structural slice, with its level and place in the cleaned text; a blank text is one slice."""
+    clean = unfenced(canonical(text))
+    level, cuts = structural_slices(clean)
+    out, known, first = [], set(), 0
+    for k, (low, high) in enumerate(cuts):
+        own = clean[low:high]
+        lens = [len(x.split()) for x in split([own])]
+        m, size = len(lens), len(own.split())
+        variance = 0.0 if m < 2 else (m * sum(x * x for x in lens) - sum(lens) ** 2) / (m * m)
+        words_here = tokens(own)
+        kinds = {w for w in words_here if len(w) > 2 and not facts(w)[3] & _STOP}
+        hits = [sum(facts(w)[3] & b != 0 for w in words_here) * 100.0 / len(words_here) if words_here else 0.0 for b in (_MODAL, _NEG)]
+        novelty = None if k == 0 else len(kinds - known) / len(kinds) if kinds else 0.0
+        known |= kinds
+        out.append((k, len(cuts), size, first, first + size - 1, novelty, variance, *hits, level, low, high))
+        first += size
+    return out

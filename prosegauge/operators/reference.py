@@ -29,13 +29,38 @@ def fit(df: DataFrame, features: list[str], name: str, components: int = 4) -> d
 
 
 def fit_groups(df: DataFrame, features: list[str], by: str, components: int = 4) -> list[dict]:
-    """A reference of each value of a column, all from one aggregate; null values and groups of fewer than two measurable rows or without spread get none."""
+    """A reference of each value of a column; null values and groups of fewer than two measurable rows or without spread get none.
+
+    One aggregate gives the moments.  Products of standardised features are then
+    summed up per group inside every Arrow batch, so what is shuffled is one
+    matrix per group and partition, and what the driver gets one per group.
+    """
     ok = reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(F.col(f)) for f in features])
-    rows = df.where(F.col(by).isNotNull()).select(by, *[F.col(f).cast("double").alias(f) for f in features]).where(ok)
+    rows = df.where(F.col(by).isNotNull()).select(F.col(by).cast("string").alias("g"), *[F.col(f).cast("double").alias(f) for f in features]).where(ok)
     moments = [c for k, f in enumerate(features) for c in (F.avg(f).alias(f"m{k}"), F.stddev_pop(f).alias(f"s{k}"))]
-    cov = [F.covar_pop(features[i], features[j]).alias(f"c{i}_{j}") for i, j in _pairs(features)]
-    found = rows.groupBy(by).agg(F.count("*").alias("n"), *moments, *cov).where("n >= 2").collect()
-    return [_reference(r.asDict(), features, r[by], components) for r in found if any(r[f"s{k}"] > 0 for k in range(len(features)))]
+    found = {r["g"]: r.asDict() for r in rows.groupBy("g").agg(F.count("*").alias("n"), *moments).where("n >= 2").collect()}
+    found = {g: r for g, r in found.items() if any(r[f"s{k}"] > 0 for k in range(len(features)))}
+    centre = {g: (np.array([r[f"m{k}"] for k in range(len(features))]), np.array([r[f"s{k}"] or 1.0 for k in range(len(features))])) for g, r in found.items()}
+    size = len(features)
+
+    def products(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(size)], 1)
+            names = np.array(batch.column(0).to_pylist(), object)
+            for g in set(names.tolist()) & set(centre):
+                z = (x[names == g] - centre[g][0]) / centre[g][1]
+                total[g] = total.get(g, 0) + z.T @ z
+        keys = sorted(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([total[g].ravel().tolist() for g in keys], pa.list_(pa.float64()))], names=["g", "p"])
+
+    parts = rows.mapInArrow(products, "g string, p array<double>").select("g", F.posexplode("p").alias("at", "v"))
+    summed = parts.groupBy("g", "at").agg(F.sum("v").alias("v")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("p"))
+    for row in summed.select("g", "p.v").collect():
+        r, spread = found[row["g"]], centre[row["g"]][1]
+        cov = np.array(row["v"]).reshape(size, size) / r["n"] * np.outer(spread, spread)
+        r |= {f"c{i}_{j}": cov[i, j] for i, j in _pairs(features)}
+    return [_reference(r, features, g, components) for g, r in sorted(found.items())]
 
 
 def _pairs(features: list[str]) -> list[tuple[int, int]]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measure as M
 
-BASE = {n: "long" for n in "n_words n_sent n_chars semicolons commas quotes questions exclaims blank_words n_exist n_cop".split()} | {"has_end": "boolean", "odd_quotes": "boolean"}
+BASE = {n: "long" for n in "n_words n_sent n_chars semicolons commas quotes questions exclaims blank_words n_exist n_cop".split()} | {"has_end": "boolean", "odd_quotes": "boolean", "open_fence": "boolean"}
 COLUMNS = {
     "counts": {n: "long" for n in ["n", "types", "letters", "hapax", "c2", "p1", "p2", "content", "content_types", "repeated_types", *(f"k{i}" for i in range(1, 7)), *(f"e{i}" for i in range(1, 7)), *M.HITS]},
     "len": {"len_m": "long", "len_s1": "long", "len_s2": "long", "sb_s": "double"},
@@ -20,9 +20,11 @@ COLUMNS = {
     "rel": {n: "long" for n in [*(f"r{i}" for i in range(1, 10)), "rel_total", "pairs", "switches", "deep"]},
     "stems": {n: "long" for n in "st_n stems again chains span".split()},
     "spread": {"mattr_total": "long", "bg_s": "double", "half_pos": "long", "burst": "double"},
+    "sub": {"sub_hits": "long"},
+    "lz": {"lz": "double"},
     "letters": {"ch_n": "long", "ch_s": "double", "drift": "double"},
 }
-_ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 #: Bytes of an Arrow batch, since whole texts are sent.
 BATCH = 4 << 20
 
@@ -57,16 +59,28 @@ def wide(docs: DataFrame, parts: frozenset[str], id_col: str = "doc_id", text_co
 _CURVE = {"slice": "long", "n_slices": "long", "words": "long", "first_word": "long", "last_word": "long", "novelty": "double", "variance": "double", "modal": "double", "negation": "double"}
 
 
-def curves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the columns of measure.curves() for every slice of every document; blank texts have none."""
+_PLACED = _CURVE | {"level": "string", "start": "long", "stop": "long"}
+
+
+def _slices(docs: DataFrame, kernel, columns: dict[str, str], id_col: str, text_col: str) -> DataFrame:
     slim = lean(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
 
     def run(batches):
         for batch in batches:
-            got = [M.curves(t.as_py()) for t in batch.column(1)]
+            got = [kernel(t.as_py()) for t in batch.column(1)]
             owner = pa.array([k for k, own in enumerate(got) for _ in own], pa.int64())
             flat = [row for own in got for row in own]
-            arrays = [pa.array([row[j] for row in flat], _ARROW[k]) for j, k in enumerate(_CURVE.values())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *arrays], names=["doc_id", *_CURVE])
+            arrays = [pa.array([row[j] for row in flat], _ARROW[k]) for j, k in enumerate(columns.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *arrays], names=["doc_id", *columns])
+
+    return slim.mapInArrow(run, ", ".join([f"doc_id {dict(slim.dtypes)['doc_id']}", *(f"{c} {k}" for c, k in columns.items())]))
+
+
+def curves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the columns of measure.curves() for every equal-word slice of every document; blank texts have none."""
+    return _slices(docs, M.curves, _CURVE, id_col, text_col)
+
 
-    return slim.mapInArrow(run, ", ".join([f"doc_id {dict(slim.dtypes)['doc_id']}", *(f"{c} {k}" for c, k in _CURVE.items())]))
+def elegant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the columns of measure.elegant() for every structural slice of every document."""
+    return _slices(docs, M.elegant, _PLACED, id_col, text_col)

@@ -9,7 +9,10 @@ null where the feature is gated, and 0 or a number where it is not.
 
 from __future__ import annotations
 
+import re
+
 from ..functions.lexicon import EXTENDED, RELATIONS, bit
+from ..functions.measure import PHRASES, SUBORDINATORS
 
 D = 8  # digits that results are rounded to
 MIN_WORDS = 150
@@ -71,6 +74,10 @@ FROM {{wide}} d"""
 
 STYLOMETRY = f"""SELECT d.doc_id, {", ".join(f"CASE WHEN d.n_sent > 0 AND d.n_words > 0 THEN {r(x)} END AS {n}" for n, x in [("semicolon_per_1k_words", "semicolons * 1000.0 / CAST(d.n_words AS DOUBLE)"), ("comma_per_sentence", "commas / CAST(d.n_sent AS DOUBLE)"), ("question_rate", "questions / CAST(d.n_sent AS DOUBLE)"), ("exclamation_rate", "exclaims / CAST(d.n_sent AS DOUBLE)"), ("quotation_density", "quotes * 1000.0 / CAST(greatest(n_chars, 1) AS DOUBLE)")])} FROM {{wide}} d"""
 
+SUBORDINATION = f"""SELECT d.doc_id, CASE WHEN d.n_words > 0 THEN {r("coalesce(d.sub_hits, 0) * 1000.0 / CAST(d.n_words AS DOUBLE)")} END AS subordination_density FROM {{wide}} d"""
+COMPRESSION = f"""SELECT d.doc_id, {r("d.lz")} AS compression_ratio FROM {{wide}} d"""
+COMPRESSION_GATED = f"""SELECT d.doc_id, {GATE} {r("d.lz")} END AS compression_ratio FROM {{wide}} d"""
+
 DIST_TYPES = f"""SELECT d.doc_id, {GATE} {r("hapax / CAST(types AS DOUBLE)")} END AS hapax_ratio, {GATE} {r("10000.0 * (c2 - n) / CAST(n * n AS DOUBLE)")} END AS yule_k,
   {GATE} {r("((n * p1 - p2) / 2.0) / (CAST(n AS DOUBLE) * (n * n - 1) / 12.0) / n")} END AS growth_slope, {GATE} {r("letters / CAST(n AS DOUBLE)")} END AS mean_word_length FROM {{wide}} d"""
 
@@ -105,6 +112,8 @@ FROM {{wide}} d"""
 _CATS = ["i_elab", "i_contrast", "i_cause", "i_result", "i_cond", "i_joint"]
 _HIT = f"m AS (SELECT t.doc_id, t.sent, t.pos, CASE WHEN l.rel = 5 AND (l.bits & {bit('broad')}) <> 0 AND w.n < 8 THEN 0 ELSE coalesce(l.rel, 0) END AS rel FROM tok t LEFT JOIN lex l ON t.word = l.word JOIN (SELECT doc_id, sent, count(*) AS n FROM tok GROUP BY doc_id, sent) w ON t.doc_id = w.doc_id AND t.sent = w.sent)"
 _LOGS = "sum(c * log2(CAST(c AS DOUBLE)))"
+_SPACED = "array_to_string(list_transform(regexp_extract_all(lower(text), '[a-z]+(?:[''’-][a-z]+)*'), lambda w: ' ' || replace(w, '’', '''') || ' '), '')"
+_PHRASES = "|".join("  ".join(p) for p in PHRASES)
 #: part -> (common table expressions, of which the last has one row per document; its columns)
 WIDE_SQL: dict[str, tuple[str, str]] = {
     "counts": (_COUNTS.replace("{{freq}}", "freq").replace("{{lex}}", "lex").replace("{freq}", "freq").replace("{lex}", "lex"), "counts"),
@@ -149,6 +158,10 @@ gone AS (SELECT doc_id, word, avg(gap) AS mu, stddev_pop(gap) AS sigma FROM gaps
 spreads AS (SELECT bs.doc_id, mattr_total, bg_s, half_pos, burst FROM bs LEFT JOIN ms ON bs.doc_id = ms.doc_id LEFT JOIN bh ON bs.doc_id = bh.doc_id LEFT JOIN two ON bs.doc_id = two.doc_id)""",
         "spreads",
     ),
+    "sub": (
+        f"""sp AS (SELECT doc_id, {_SPACED} AS w FROM sen), subs AS (SELECT doc_id, sum(len(regexp_extract_all(w, ' ({_PHRASES}) ')) + len(regexp_extract_all(regexp_replace(w, ' ({_PHRASES}) ', '|', 'g'), ' ({"|".join(sorted(SUBORDINATORS))}) '))) AS sub_hits FROM sp GROUP BY doc_id)""",
+        "subs",
+    ),
     "letters": (
         f"""lh AS (SELECT doc_id, half, ch, count(*) AS c FROM letters GROUP BY doc_id, half, ch), lw AS (SELECT doc_id, ch, sum(c) AS c FROM lh GROUP BY doc_id, ch), la AS (SELECT doc_id, sum(c) AS ch_n, {_LOGS} AS ch_s FROM lw GROUP BY doc_id),
 le AS (SELECT doc_id, half, log2(CAST(sum(c) AS DOUBLE)) - {_LOGS} / sum(c) AS e FROM lh GROUP BY doc_id, half),
@@ -164,7 +177,7 @@ def wide_sql(parts: tuple[str, ...]) -> str:
     own = ", ".join(["d.*", *(f"{n}.* EXCLUDE (doc_id)" for n in names)])
     made = [WIDE_SQL[p][0] for p in parts]
     odd = "(length(d.text) - length(replace(d.text, '\"', ''))) % 2 = 1 OR length(replace(d.text, '“', '')) <> length(replace(d.text, '”', ''))"
-    return ", ".join([*made, f"wide AS (SELECT {own}, {odd} AS odd_quotes FROM doc d " + " ".join(f"LEFT JOIN {n} ON d.doc_id = {n}.doc_id" for n in names) + ")"])
+    return ", ".join([*made, f"wide AS (SELECT {own}, {odd} AS odd_quotes, false AS open_fence FROM doc d " + " ".join(f"LEFT JOIN {n} ON d.doc_id = {n}.doc_id" for n in names) + ")"])
 
 
 _RULES = ["default", "lexicon_mental", "lexicon_verbal", "lexicon_copula_be", "lexicon_relational", "lexicon_behavioral", "lexicon_material", "denylist_plural_noun", "denylist_adjectival_participle", "denylist_non_process"]
@@ -176,5 +189,19 @@ TOKEN_TRACE = f"""SELECT /*+ BROADCAST(l) */ f.doc_id, f.pos, f.word, CASE {_COD
 
 TOP_WORDS = "SELECT doc_id, word, c, CAST(k AS BIGINT) AS place FROM (SELECT doc_id, word, c, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, p) AS k FROM {freq} WHERE length(word) >= 3) x WHERE k <= 20"
 
+def prefixed(view: str, *parts: str) -> str:
+    """The columns of feature queries with the name of their view before them."""
+    return ", ".join(re.sub(r"\bAS (\w+)(?=,|$)", rf"AS {view}_\1", fields(p)) for p in parts)
+
+
+_SHAPER, _EXTENDED, _STYLE = prefixed("shaper", SFL, RST, COHESION, REGISTER), prefixed("extended", EXT_SFL, EXT_RST, EXT_COHESION), prefixed("stylometry", STYLOMETRY, SUBORDINATION)
+_DISTRIBUTIONAL = prefixed("distributional", DIST_TYPES, DIST_CHARS, DIST_BIGRAM, DIST_SENTENCES, DIST_BURSTINESS, DIST_HALFLIFE, DIST_MATTR)
+#: Every feature of a document's joint reading but the two compression ratios, which SQL can't count: 13 compact, 37 extended, 6 stylometric and 11 distributional ones; with them 69.
+JOINT = ", ".join([_SHAPER, _EXTENDED, _STYLE, _DISTRIBUTIONAL])
+EVERY = ", ".join([JOINT, prefixed("stylometry", COMPRESSION), prefixed("distributional", COMPRESSION_GATED)])
+#: The 57 that references are fitted on.
+FLAT = ", ".join([_SHAPER, _EXTENDED, _STYLE, prefixed("stylometry", COMPRESSION)])
+FLAT_NAMES = re.findall(r"\bAS ((?:shaper|extended|stylometry)_\w+)", FLAT)
+
 #: Upper ends of the fixed scales of the flat embedding, in the order of the compact reading.
 SCALES = {"process_proxy_entropy": 2.2, "stative_active_ratio": 3.0, "projection_frequency": 6.0, "marker_density": 1.0, "elaboration_marker_density": 1.0, "contrast_marker_density": 1.0, "type_token_ratio": 1.0, "pronoun_density": 15.0, "lexical_repetition": 1.0, "lexical_novelty": 1.0, "sentence_length_variance": 10.0, "modal_density": 5.0, "negation_density": 5.0}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import words
-from ..operators import columns, reference, sequential
+from ..operators import columns, reference, sequential, wide
+from ..sources.tables import written
+from . import trajectory
 from .base import cleaned
 
 
@@ -67,6 +69,7 @@ SELECT role, turns, words, round(100.0::DOUBLE * m / nullif(words, 0), 6) AS mod
 
 
 def lz78(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy distinct phrases per byte of the cleaned text."""
     return cleaned(_table(spark, sf_dir, "documents")).select("doc_id", sequential.phrase_rate("text").alias("compression_ratio"))
 
 
@@ -93,28 +96,94 @@ def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.feat(_table(spark, sf_dir, "documents"))
 
 
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang and the 57 features that references are fitted on."""
+    from . import features as X
+
+    docs = _table(spark, sf_dir, "documents")
+    rows = wide.wide(docs, frozenset(wide.COLUMNS) - {"spread", "letters"}, keep=("lang",))
+    return written(spark.sql(f"SELECT d.doc_id, d.lang, {X.FLAT} FROM {{wide}} d", wide=rows), "flat")
+
+
 def reference_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reference of every language, fitted on all its documents; every document routed to the nearest.
+    """A reference of every language on the 57 flat features, fitted on all its documents; every document routed to the nearest.
 
     A null language and one of fewer than two measurable documents or without
     spread have no reference; their documents get the nearest of the others and
-    the match "no_reference".
+    the match "no_reference".  A document with a null feature is unprojectable.
     """
-    feat = _register(spark, sf_dir).select("doc_id", "lang", *REGISTER)
-    refs = reference.fit_groups(feat, REGISTER, "lang")
-    known = spark.createDataFrame([(r["name"],) for r in refs], "__lang string")
-    found = reference.nearest(feat, REGISTER, refs).join(known, F.col("lang") == F.col("__lang"), "left")
+    from .features import FLAT_NAMES
+
+    return _routed(_flat(spark, sf_dir), FLAT_NAMES)
+
+
+def _routed(feat: DataFrame, features: list[str]) -> DataFrame:
+    refs = reference.fit_groups(feat, features, "lang")
+    known = feat.sparkSession.createDataFrame([(r["name"],) for r in refs], "__lang string")
+    found = reference.nearest(feat, features, refs).join(known, F.col("lang") == F.col("__lang"), "left")
     match = F.when(F.col("__lang").isNull(), "no_reference").otherwise(F.col("match"))
     return found.select("doc_id", "lang", "cohort", F.round("distance", 6).alias("distance"), match.alias("match"))
 
 
+def compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both compression ratios: of every text, and of those in the envelope."""
+    from . import features as X
+
+    rows = wide.wide(_table(spark, sf_dir, "documents"), frozenset(("lz",)))
+    return spark.sql(f"SELECT d.doc_id, {X.prefixed('stylometry', X.COMPRESSION)}, {X.prefixed('distributional', X.COMPRESSION_GATED)} FROM {{wide}} d", wide=rows)
+
+
+def full_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 69 features of every document in one pass, with the digests of its text and of its canonical record."""
+    from . import features as X
+
+    docs = _table(spark, sf_dir, "documents")
+    rows = wide.wide(docs.withColumn("input_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), frozenset(wide.COLUMNS), keep=("input_sha256",))
+    found = spark.sql(f"SELECT d.doc_id, d.input_sha256, d.n_words, d.n_sent, {X.EVERY} FROM {{wide}} d", wide=rows)
+    names = [c for c in found.columns if c not in ("doc_id", "input_sha256")]
+    return found.withColumn("reading_sha256", sequential.record_hash(F.struct(*names)))
+
+
 def record_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feat = _register(spark, sf_dir)
-    return feat.select("doc_id", sequential.record_hash(F.struct(*REGISTER)).alias("reading_sha256"))
+    """SHA-256 of the canonical JSON of the whole reading: twelve digits, sorted keys."""
+    return full_record(spark, sf_dir).select("doc_id", "reading_sha256")
+
+
+def trajectory_elegant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four curves over structural slices, with the level of the cut."""
+    values = [F.round(c, 8).alias(c) for c in trajectory.DIMENSIONS]
+    return wide.elegant(_table(spark, sf_dir, "documents")).select("doc_id", "level", "slice", "n_slices", "start", "stop", *values)
+
+
+def _on_elegant(name: str, sql: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from . import queries as Q
+
+        rel = {"traj": written(trajectory_elegant(spark, sf_dir).drop("level", "start", "stop"), "trajectory")}
+        if "{wide}" in sql:
+            rel["wide"] = wide.wide(_table(spark, sf_dir, "documents"), frozenset())
+        return spark.sql(Q._fill(sql, Q.SPARK), **rel)
+
+    query.__name__ = name
+    query.__doc__ = "The query of the same name over structural slices."
+    return query
+
+
+_ELEGANT = [_on_elegant(f"{name}_elegant", sql) for name, sql in (("slice_deltas", trajectory.DELTAS), ("arc_summary", trajectory.ARC), ("slice_labels", trajectory.LABELS), ("flags_summary", trajectory.FLAGS))]
+
+
+def trajectory_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four elegant curves on a grid of ten points, linear between slices: doc_id and an array of 40."""
+    rows = trajectory_elegant(spark, sf_dir)
+    pts = lambda c: F.array_sort(F.filter(F.collect_list(F.struct(F.col("slice").cast("double").alias("x"), F.col(c).alias("y"))), lambda p: p["y"].isNotNull()))
+    kept = rows.groupBy("doc_id").agg(F.max("n_slices").alias("n"), *[pts(c).alias(c) for c in trajectory.DIMENSIONS])
+    grid = F.sequence(F.lit(0), F.lit(9))
+    on = lambda c: F.transform(grid, lambda k: F.round(columns.interpolate(F.col(c)["x"], F.col(c)["y"], k * (F.col("n") - 1) / 9.0), 8))
+    return kept.select("doc_id", F.concat(*[on(c) for c in trajectory.DIMENSIONS]).alias("embedding"))
 
 
 def queries():
-    return {f.__name__: f for f in (script_counts, structural_lines, embedding_cosine, conversation_register, lz78, elegant_slices, bootstrap_ci, perturb_study, reference_route, record_hash)}
+    return {f.__name__: f for f in (script_counts, structural_lines, embedding_cosine, conversation_register, lz78, elegant_slices, bootstrap_ci, perturb_study, reference_route, record_hash, compression, full_record, trajectory_elegant, trajectory_embedding, *_ELEGANT)}
 
 
 def oracle_sql() -> dict[str, str]:

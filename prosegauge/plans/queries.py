@@ -91,12 +91,21 @@ EMBEDDING = f"SELECT doc_id, {', '.join(f'CASE WHEN {k} IS NOT NULL THEN round(l
 _JOINT = ("counts", "len", "cue")
 _VIEWS = ("counts", "len", "cue", "rel", "stems")
 _FEAT = ("counts", "len", "feat")
+_EVERY = ("counts", "len", "cue", "rel", "stems", "spread", "letters", "sub")
+JOINT = f"SELECT d.doc_id, d.n_words, d.n_sent, {X.JOINT} FROM {{wide}} d"
+#: The flat features without the compression ratio.
+FLAT = f"SELECT d.doc_id, {X.FLAT.replace(', ' + X.prefixed('stylometry', X.COMPRESSION), '')} FROM {{wide}} d"
+_NULLS = " + ".join(f"CASE WHEN {x} IS NULL THEN 1 ELSE 0 END" for x in X.FLAT_NAMES if not x.endswith("compression_ratio"))
+#: Views that diverge, five or more of the 57 flat features unmeasurable (a compression ratio is so for an empty text), a fence that was never closed.
+FLAGS_OF_VIEWS = f"""SELECT a.doc_id, CASE WHEN b.overall = 'diverge' THEN 1 ELSE 0 END AS cross_view_diverge, CASE WHEN {_NULLS} + CASE WHEN c.n_chars = 0 THEN 1 ELSE 0 END >= 5 THEN 1 ELSE 0 END AS feature_unmeasurable_cluster,
+  CASE WHEN c.open_fence THEN 1 ELSE 0 END AS malformed_fence_recovered FROM ({FLAT}) a JOIN ({COHERENCE}) b ON a.doc_id = b.doc_id JOIN {{wide}} c ON a.doc_id = c.doc_id"""
 #: name -> (SQL, the parts of {wide} that it reads and relations beyond)
 SHARED: dict[str, tuple[str, tuple[str, ...]]] = {
     "doc_word_counts": (X.WORD_COUNTS, ()), "cohesion_compact": (X.COHESION, ("counts",)), "register_compact": (X.REGISTER, ("counts", "len")), "sfl_compact": (X.SFL, ("counts",)), "sfl_trace_counts": (X.SFL_TRACE, ("counts",)), "rst_compact": (X.RST, ("cue",)), "stylometry": (X.STYLOMETRY, ()),
     "dist_types": (X.DIST_TYPES, ("counts",)), "dist_mattr": (X.DIST_MATTR, ("spread",)), "dist_bigram_entropy": (X.DIST_BIGRAM, ("spread",)), "dist_halflife": (X.DIST_HALFLIFE, ("spread",)), "dist_burstiness": (X.DIST_BURSTINESS, ("spread",)), "dist_sentence_entropy": (X.DIST_SENTENCES, ("len",)), "dist_char_entropy": (X.DIST_CHARS, ("letters",)),
     "ext_sfl": (X.EXT_SFL, ("counts",)), "ext_rst": (X.EXT_RST, ("rel",)), "ext_cohesion": (X.EXT_COHESION, ("counts", "stems")), "compact_reading": (READING, _JOINT), "convergence_axes": (CONVERGENCE, (*_VIEWS, "written")), "coherence": (COHERENCE, (*_VIEWS, "written")),
     "chunker_slices": (J.SLICES, ("ww",)), "trajectory_chunker": (J.TRAJECTORY, ("ww",)), "slice_deltas": (J.DELTAS, ("ww", "traj")), "arc_summary": (J.ARC, ("ww", "traj")), "slice_labels": (J.LABELS, ("ww", "traj")), "flags_summary": (J.FLAGS, ("ww", "traj")),
+    "subordination": (X.SUBORDINATION, ("sub",)), "joint_reading": (JOINT, _EVERY), "flat_features": (FLAT, _EVERY), "flags_of_views": (FLAGS_OF_VIEWS, (*_EVERY, "written")),
     "sfl_token_trace": (X.TOKEN_TRACE, ("words",)), "top_words": (X.TOP_WORDS, ("words",)), "flat_embedding": (EMBEDDING, _JOINT), "distance_envelope": (control.ENVELOPE, _FEAT), "spc_summary": (control.SUMMARY, _FEAT), "quantile_grid": (control.GRID, _FEAT),
     "words_by_lang": (MINIMUM, _FEAT), "length_cohorts": (COHORTS, ()), "soft_flags": (SOFT, ()), "reference_feature_stats": (control.REFERENCE, _FEAT), "zscore_distance": (control.DISTANCE, _FEAT), "distance_midrank": (control.MIDRANK, _FEAT), "feature_bh": (control.BH, _FEAT), "cv_fold_ids": (control.FOLDS, _FEAT),
     "spc_individuals": (control.INDIVIDUALS, _FEAT), "spc_cusum": (control.CUSUM, _FEAT), "spc_ewma": (control.EWMA, _FEAT), "length_spearman": (control.SPEARMAN, _FEAT), "detection_rate": (control.DETECTION, _FEAT), "quality_label_contrast": (control.CONTRAST, (*_FEAT, "labels")),

@@ -114,11 +114,12 @@ def test_reference_route_of_every_language(spark, data, tmp_path):
     two = docs.withColumn("lang", F.format_string("x%03d", k)).unionByName(docs.withColumn("lang", F.format_string("x%03d", k % 129 + 1)).withColumn("doc_id", F.col("doc_id") + 1_000_001))
     odd = docs.limit(2).withColumn("doc_id", F.col("doc_id") + 5_000_000).withColumn("lang", F.lit(None).cast("string"))
     two.unionByName(odd).write.parquet(str(tmp_path / "documents.parquet"))
-    rows = more.reference_route(spark, str(tmp_path)).collect()
+    rows = more._routed(more._register(spark, str(tmp_path)), more.REGISTER).collect()
     assert len(rows) == 262
     assert {r["match"] for r in rows if r["lang"] in (None, "x130")} == {"no_reference"}
     assert max(r["cohort"] for r in rows if r["cohort"]) > "x100"
-    feat = more._register(spark, data).cache()
+    assert len(more.reference_route(spark, str(tmp_path)).collect()) == 262
+    feat = more._register(spark, data).drop("rid").cache()
     refs = [reference.fit(feat.where(F.col("lang") == x), more.REGISTER, x) for x in ("de", "en", "es", "fr")]
     got = {r["doc_id"]: (r["cohort"], r["match"], r["distance"] and round(r["distance"], 6)) for r in reference.nearest(feat, more.REGISTER, reference.fit_groups(feat, more.REGISTER, "lang")).collect()}
     assert got == {r["doc_id"]: (r["cohort"], r["match"], r["distance"] and round(r["distance"], 6)) for r in reference.route(feat, refs).collect()}
