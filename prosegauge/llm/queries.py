@@ -64,10 +64,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = [op1_license_scan, op2_mix_sources, op3_quality_rules, op4_nearest_neighbours, op5_toxicity, op6_warc, op7_near_duplicates, op8_main_text, op9_language, op10_bpe]
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 OP2_SQL = r"""
