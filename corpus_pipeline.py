@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and reread as the next stage's docs.  All but the last return the
 columns of documents, so a document that a stage drops is gone for good.
+
+Defined results on odd rows: null and blank texts fail the quality rules; a row
+is judged by its own id, language and text, so rows that share an id or have
+none go or stay each for itself, and repeated rows go or stay together until
+near-dedup, which keeps one; blank texts that reach it all stay, and the mix,
+which counts words, takes none of them; a null source is mixed as a source of
+its own; without labels the base rules alone decide and nothing counts as toxic;
+an empty table gives an empty result; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -29,25 +37,25 @@ def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the likelihood ratio reject go."""
+    """Documents that the base rules or the likelihood ratio reject go; null and blank texts are rejected."""
     docs = _keyed(docs)
     return _without(docs, quality.quality(docs, table(spark, sf_dir, "labels"), keep=("__key",)).where("not kept"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go; null and blank texts score 0 and stay."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     docs = _keyed(docs)
     return _without(docs, toxicity.score(docs, lexicon, keep=("__key",)).where("predicted = 1"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of the least doc_id."""
+    """One document of each near-duplicate class stays, that of the least doc_id; blank texts are classes of their own."""
     return neardup.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it, at most three times; documents without words are never taken."""
     return mixing.mixed_rows(docs)
 
 
@@ -64,7 +72,7 @@ STAGES = [
     ("BPE encoding and decoding", encoding_stage),
 ]
 
-#: No SQL: hashes, the automaton, signatures and merges aren't expressible; tests hold each stage against brute force.
+#: No SQL: hashes, the automaton, signatures and merges aren't expressible; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
