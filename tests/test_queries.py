@@ -12,7 +12,7 @@ from prosegauge.operators import columns, reference
 from prosegauge.plans import queries as Q
 from prosegauge.streaming import charts
 
-SAMPLE = ["compact_reading", "dist_types", "dist_mattr", "ext_cohesion", "slice_labels", "feature_bh", "spc_cusum", "spc_ewma", "script_counts", "structural_lines", "embedding_cosine", "conversation_register"]
+SAMPLE = ["joint_reading", "arc_summary", "slice_labels", "flags_of_views", "feature_bh", "quantile_grid", "spc_summary", "top_words", "script_counts", "structural_lines", "embedding_cosine", "conversation_register"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -123,3 +123,54 @@ def test_reference_route_of_every_language(spark, data, tmp_path):
     refs = [reference.fit(feat.where(F.col("lang") == x), more.REGISTER, x) for x in ("de", "en", "es", "fr")]
     got = {r["doc_id"]: (r["cohort"], r["match"], r["distance"] and round(r["distance"], 6)) for r in reference.nearest(feat, more.REGISTER, reference.fit_groups(feat, more.REGISTER, "lang")).collect()}
     assert got == {r["doc_id"]: (r["cohort"], r["match"], r["distance"] and round(r["distance"], 6)) for r in reference.route(feat, refs).collect()}
+
+
+def test_ranks_by_stretches(spark, monkeypatch):
+    from prosegauge.operators import ranks
+
+    monkeypatch.setattr(ranks, "SMALL", 10)
+    rng = np.random.default_rng(1)
+    rows = [(("a", "b", None)[k % 3], float(rng.integers(0, 400)) if k % 5 else 7.0) for k in range(3000)] + [("a", None)]
+    got = {(r["g"], r["v"]): (r["c"], r["le"], r["n"]) for r in ranks.ranked(spark.createDataFrame(rows, "g string, v double"), ("g",), "v").collect()}
+    for g in ("a", "b", None):
+        own = np.array([v for h, v in rows if h == g and v is not None])
+        assert all(got.pop((g, v)) == ((own == v).sum(), (own <= v).sum(), len(own)) for v in set(own.tolist()))
+    assert not got
+
+
+def test_charts_of_blocks(spark):
+    from prosegauge.operators import charts as C
+
+    rng = np.random.default_rng(2)
+    rows = [(k, ("a", None)[k % 2], k // 2, k, float(rng.normal(1 + (k > 300))), 1.0, 0.8) for k in range(500)]
+    got = {r["rid"]: r for r in C.charted(spark.createDataFrame(rows, "rid long, lang string, i long, doc_id long, x double, mu0 double, sigma0 double"), block=17).collect()}
+    for g in ("a", None):
+        z, up, down = 1.0, 0.0, 0.0
+        for rid, _, _, _, x, mu, sigma in [r for r in rows if r[1] == g]:
+            z, s = 0.2 * x + 0.8 * z, (x - mu) / sigma
+            up, down = max(0.0, up + s - 0.5), max(0.0, down - s - 0.5)
+            assert (got[rid]["z"], got[rid]["c_plus"], got[rid]["c_minus"]) == pytest.approx((z, up, down))
+
+
+def test_the_pass_and_the_columns_read_alike(spark):
+    from prosegauge.functions import measure as M
+
+    texts = [TEXT, "", None, "a\n```\nopen stays. Yes", "See fig. Nine. Dr.  Mr. Who?  E.g. This... Oh!  No.\tYes\u00a0Sir.", "One. \n\n\n Two\n \nThree. dec. Four et al. Five", "---\nx\n---\nBody. Text", "~~~\na\n```\nb\n~~~\nC. D", "St. Mary st. Jude 'Vs. Them' (Mr. X) vs. Y.\u2003Z", "p. P. pp. Q approx........ R approx........... S"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    c = T.clean(T.canonicalise(F.coalesce(F.col("text"), F.lit(""))))
+    for r in df.select("text", c.alias("c"), T.paragraph_sentences(c).alias("s"), T.words(c).alias("w"), T.unclosed_fence(T.canonicalise(F.coalesce(F.col("text"), F.lit("")))).alias("u")).collect():
+        raw = M.canonical(r["text"])
+        clean = M.unfenced(raw)
+        assert (clean, M.sentences(clean), M.tokens(clean), M.open_fence(raw)) == (r["c"], r["s"], r["w"], r["u"])
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids, languages and texts, repeated rows and an empty table: every query gives a result."""
+    long = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} must not go." for k in range(90))
+    rows = [(1, long, "en"), (1, long, "en"), (None, long + " More. Yes", "en"), (2, None, None), (3, "", None), (4, long[:900], None)]
+    for at, some in (("some", rows), ("none", [])):
+        spark.createDataFrame(some, "doc_id long, text string, lang string").write.parquet(str(tmp_path / at / "documents.parquet"))
+        for name in ("joint_reading", "flags_summary", "distance_midrank", "feature_bh", "spc_summary", "reference_route", "trajectory_elegant"):
+            n = Q.queries()[name](spark, str(tmp_path / at)).count()
+            assert n >= len(some) - 5 and (some or not n), name
+        assert Q.queries()["joint_reading"](spark, str(tmp_path / at)).count() == len(some)
