@@ -50,6 +50,8 @@ def _class(ranges: str) -> str:
 
 
 _UNLIKE = re.compile(f"[{_class(_LATER_LETTERS)}{_class(_LATER_DIGITS)}{''.join(map(chr, _LOWER))}]")
+#: All that the tables class differently lies in this range.
+_FAR = re.compile("[\u0558-\U0010ffff]")
 _MARKS = re.compile(f"([{_class(_LATER_MARKS)}])")
 
 
@@ -124,21 +126,24 @@ class BatchedBpe:
         for part in parts:
             if part in self.special:
                 yield [part]
-            elif len(part) <= BLOCK:
-                yield self.plain(part).findall(self.lower(part))
             else:
-                found = self.plain(part).finditer(self.lower(part))
-                while some := [m[0] for m in islice(found, STRIDE)]:
-                    yield some
-
-    def plain(self, text: str):
-        return self.pinned_re if not text.isascii() and _UNLIKE.search(text) else self.piece_re
-
-    def lower(self, text: str) -> str:
+                far = not part.isascii() and _FAR.search(part) is not None
+                unlike = far and _UNLIKE.search(part) is not None
+                cut, low = self.pinned_re if unlike else self.piece_re, self.lower(part, far, unlike)
+                if len(part) <= BLOCK:
+                    yield cut.findall(low)
+                else:
+                    found = cut.finditer(low)
+                    while some := [m[0] for m in islice(found, STRIDE)]:
+                        yield some
+
+    @staticmethod
+    def lower(text: str, far: bool, unlike: bool) -> str:
+        """far: whether any character is beyond those that all tables agree on; unlike: whether the tables differ on one."""
         if text.isascii():
             return text.lower()
-        text = composed(text).replace("Σ", "σ").lower()
-        return text.translate(_LOWER) if _UNLIKE.search(text) else text
+        text = (composed(text) if far else unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+        return text.translate(_LOWER) if unlike else text
 
     def merge(self, pieces: list[str]) -> tuple[list[int], list[int]]:
         """All ids of the pieces in order, and where each piece ends among them."""
@@ -217,9 +222,11 @@ class BatchedBpe:
             self.learn(list(fresh))
 
     def known(self, pieces: list[str]) -> tuple[str, str]:
-        if any(p not in self.cache for p in pieces):
+        try:
+            both = [self.cache[p] for p in pieces]
+        except KeyError:  # a long text's piece, or one that was forgotten since
             self.learn_new(set(pieces))
-        both = [self.cache[p] for p in pieces]
+            both = [self.cache[p] for p in pieces]
         return " ".join([b[0] for b in both]), " ".join([b[1] for b in both])
 
 
