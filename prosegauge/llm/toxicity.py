@@ -12,8 +12,9 @@ hold.  The sum of weights, normalised by length, and
 its calibration give a score from 0 to 1.
 
 The lexicon is fitted on at most SAMPLE labelled rows outside the held-out
-third (parameters).  It has at most ENTRIES entries, which is what bounds what
-the driver collects and ships.  Scoring reads every whole text.
+third (parameters), one text of an id, kept in at most FILES files.  It has at
+most ENTRIES entries, which is what bounds what the driver collects and ships.
+Scoring reads every whole text.
 
 Defined results: null and blank texts score 0; repeated rows are scored
 alike; without labels the lexicon is empty and everything scores 0; an empty
@@ -31,12 +32,15 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, materialise, small_batches
 
 SAMPLE = 8_000
+#: Files of the sample.  It doesn't grow with the table, and for each file and its checksum an executor forks a process.
+FILES = 8
 ENTRIES = 4_000
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7)
@@ -131,22 +135,33 @@ class Lexicon:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, limit: int, id_col: str, text_col: str) -> DataFrame:
-    """text, toxic of at most `limit` labelled rows, half of them toxic if there are so many."""
+    """id, text, toxic of at most `limit` labelled rows, half of them toxic if there are so many; of an id's texts that of the least hash."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
     chosen = [known.where(f"toxic = {v}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit // 2) for v in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).withColumnRenamed("doc_id", "__id")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.join(F.broadcast(ids), F.col("id") == F.col("__id")).select("id", "text", "toxic")
+    found = slim.join(F.broadcast(ids), F.col("id") == F.col("__id"))
+    one = found.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    return one.select("id", F.col("one.text").alias("text"), "toxic").coalesce(FILES)
 
 
-def _features(texts: pd.Series) -> pd.Series:
-    """The distinct words (ending in a blank) and word beginnings of each text."""
-    out = []
-    for text in texts:
-        words = set(_WORDS.findall(fold(text)))
-        out.append([f"{w} " for w in words if len(w) > 1] + list({w[:n] for w in words for n in PREFIXES if len(w) >= n}))
-    return pd.Series(out)
+def _features(text: str | None) -> set[str]:
+    """The distinct words (ending in a blank) and word beginnings of a text."""
+    words = set(_WORDS.findall(fold(text)))
+    return {f"{w} " for w in words if len(w) > 1} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
+
+
+def _tallies(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """e, bad, good: the toxic and the clean texts of a batch that hold each feature, counted here, so that no list of every text's features is held."""
+    for part in parts:
+        bad, good = Counter(), Counter()
+        for text, toxic in zip(part.column("text"), part.column("toxic"), strict=True):
+            (bad if toxic.as_py() else good).update(_features(text.as_py()))
+        names = list(bad.keys() | good.keys())
+        for k in range(0, len(names), 50_000):
+            some = names[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, "string"), pa.array([bad.get(e, 0) for e in some], "int64"), pa.array([good.get(e, 0) for e in some], "int64")], ["e", "bad", "good"])
 
 
 def _pairs(folded: str, starts: Iterable[int]) -> set[str]:
@@ -169,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPTIO
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
         return Lexicon({}, exceptions)
-    words = F.pandas_udf(_features, "array<string>")
-    counted = sample.select("toxic", F.explode(words("text")).alias("e")).groupBy("e").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    tallies = sample.select("text", "toxic").mapInArrow(_tallies, "e string, bad long, good long")
+    counted = tallies.groupBy("e").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = F.col("bad") + F.col("good")
     odds = F.log((F.col("bad") + 0.1) / (bad + 0.2)) - F.log((F.col("good") + 0.1) / (good + 0.2))
     # evidence in nats against chance, to exceed what the best of all features shows by chance

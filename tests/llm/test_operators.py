@@ -310,6 +310,29 @@ def test_exceptions_are_learned(spark):
     assert got[1] == 0 and got[2] > 0.5 and got[3] > 0.5
 
 
+def test_toxicity_sample_and_tallies_are_bounded(spark):
+    """Forty partitions, a third of the rows of one labelled id: few rows, few files, and counts equal to counting text by text."""
+    import pathlib
+
+    import pyarrow as pa
+
+    from prosegauge.llm.common import materialise
+
+    rows = [(0 if k % 3 == 0 else k, f"word{k % 11} grobnik{'s' * (k % 2)} text{k}") for k in range(600)] + [(601, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    truth = spark.createDataFrame([(k, 1, k % 2) for k in range(602)], "doc_id long, quality int, toxic int")
+    sample = materialise(toxicity._sample(docs, truth, 100, "doc_id", "text"), "tox-sample")
+    got = [(r["id"], r["text"], r["toxic"]) for r in sample.collect()]
+    assert len(got) == len({i for i, _, _ in got}) <= 100 and {(i, t) for i, t, _ in got} <= set(rows)
+    assert len(list(pathlib.Path(sample._written_at.removeprefix("file://")).glob("*.parquet"))) <= toxicity.FILES
+    every = toxicity._sample(docs, truth, 10_000, "doc_id", "text")
+    want = Counter((e, y) for _, t, y in (tuple(r) for r in every.collect()) for e in toxicity._features(t))
+    tallies = every.select("text", "toxic").mapInArrow(toxicity._tallies, "e string, bad long, good long").groupBy("e").agg(F.sum("bad"), F.sum("good"))
+    assert {e: (b, g) for e, b, g in tallies.collect()} == {e: (want[e, 1], want[e, 0]) for e, _ in want}
+    part = pa.RecordBatch.from_pydict({"text": ["a stone wall"] * 500, "toxic": [0] * 500})
+    assert sorted((r["e"], r["good"]) for b in toxicity._tallies([part]) for r in b.to_pylist()) == sorted((e, 500) for e in toxicity._features("a stone wall"))
+
+
 def test_toxicity_of_every_text_by_brute_force(spark, data):
     """Scores again, without the automaton: every entry and exception searched in every folded text."""
     at = f"{data}/../sf0.01"
