@@ -174,3 +174,25 @@ def test_odd_rows(spark, tmp_path):
             n = Q.queries()[name](spark, str(tmp_path / at)).count()
             assert n >= len(some) - 5 and (some or not n), name
         assert Q.queries()["joint_reading"](spark, str(tmp_path / at)).count() == len(some)
+
+
+def test_perturbed_words_without_copies(spark, data):
+    """perturb_study counts each document once for all cells, as perturb()'s copies have it; it made 15 copies of each."""
+    import hashlib
+    import random
+
+    from prosegauge.functions import measure as M
+    from prosegauge.plans import more
+
+    rng, bits = random.Random(3), ["Yes. ", "No! ", " -- ", "—", "–x", "a b. ", "Dr. Who? ", "\n\n", "it; Is. ", "É "]
+    grid = (-1.0, 0.0, 0.3, 0.5, 1.0)
+    for k in range(300):
+        own = M.sentences(M.canonical("".join(rng.choices(bits, k=rng.randint(0, 40)))))
+        assert K.perturbed_words(own, grid, str(k)) == [len(" ".join(K.perturb(kind, own, e, str(k))).split()) for kind in K.PERTURBATIONS for e in grid]
+    df = more.perturb_study(spark, data)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "ArrowEvalPython" not in plan
+    texts = [M.unfenced(M.canonical(r["text"])) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    for r in df.collect():
+        want = [len(" ".join(K.perturb(r["kind"], M.sentences(t), r["intensity"], hashlib.sha256(t.encode()).hexdigest())).split()) for t in texts]
+        assert (r["n"], r["words"]) == (len(want), round(sum(want) / len(want), 6))
