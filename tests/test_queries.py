@@ -196,3 +196,30 @@ def test_perturbed_words_without_copies(spark, data):
     for r in df.collect():
         want = [len(" ".join(K.perturb(r["kind"], M.sentences(t), r["intensity"], hashlib.sha256(t.encode()).hexdigest())).split()) for t in texts]
         assert (r["n"], r["words"]) == (len(want), round(sum(want) / len(want), 6))
+
+
+def test_measuring_many_texts_at_once(monkeypatch):
+    """measure_all() has the values of measure(), and asks it for odd texts only; the pass called it for every text before."""
+    import random
+
+    from prosegauge.functions import batch as B, measure as M
+    from prosegauge.functions.lexicon import rows
+
+    rng, listed = random.Random(4), [r[0] for r in rows()]
+    bits = ["Dr. ", " e.g. ", " however, ", "But ", "but ", " -- ", "—", ": ", "￿", ". ", "! ", "? ", "A ", "İ ", "Kx ", "Σας ", "ß é ", "\U0001f600 ", "there is ", "There were ", "`x: y`", "\n\n", "\n# h\n", "| t |", "even though ", "as long as soon as ", "nothing but ", "'", "-", "For example, ", "in other words ", "“", '"', "I.e. this. "]
+    texts = [None, "", "  ", "a", TEXT, "```\nx"] + ["".join(rng.choice(bits) if rng.random() < 0.35 else rng.choice(listed) + rng.choice([" ", ", ", ". "]) for _ in range(rng.choice([3, 20, 100, 400]))) for _ in range(300)]
+    every, want = frozenset(M.PARTS), []
+    for t in texts:
+        want.append(M.measure(t, every))
+    plain = [t for t in texts if not t or not B._ODD.search(t)]
+    with monkeypatch.context() as m:
+        m.setattr(M, "measure", None)
+        assert len(B.measure_all(plain, every)["n_words"][0]) == len(plain)
+    for size in (1 << 20, 2000, 1):  # the cuts between batches change nothing
+        monkeypatch.setattr(B, "CHARACTERS", size)
+        monkeypatch.setattr(B, "KNOWN", size)
+        got = B.measure_all(texts, every)
+        for k, row in enumerate(want):
+            assert {c: None if null[k] else pytest.approx(v[k].item(), rel=1e-14) for c, (v, null) in got.items()} == {c: row.get(c) for c in got}
+            assert set(row) <= set(got)
+    assert B.measure_all([], every) == {}
