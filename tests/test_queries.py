@@ -223,3 +223,23 @@ def test_measuring_many_texts_at_once(monkeypatch):
             assert {c: None if null[k] else pytest.approx(v[k].item(), rel=1e-14) for c, (v, null) in got.items()} == {c: row.get(c) for c in got}
             assert set(row) <= set(got)
     assert B.measure_all([], every) == {}
+
+
+def test_slices_of_many_texts_at_once(spark, data, monkeypatch):
+    """Slices of a batch have the curves of measure.curves() and elegant(), which were called for every text before."""
+    import random
+
+    from prosegauge.functions import batch as B, measure as M
+    from prosegauge.functions.lexicon import rows
+
+    rng, listed = random.Random(5), [r[0] for r in rows()]
+    bits = ["Dr. ", "￿", "A ", "İ", "K ", "there is ", "There were ", "\n\n", "\n# h\n", "it-there is "]
+    texts = [None, "", "  "] + ["".join(rng.choice(bits) if rng.random() < 0.1 else rng.choice(listed) + rng.choice([" "] * 6 + [". ", ".  A "]) for _ in range(rng.choice([3, 160, 400, 1500]))) for _ in range(80)]
+    texts += [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()]
+    want = [M.curves(t) for t in texts], [M.elegant(t) for t in texts]
+    assert B.curves_all(texts) == want[0] and B.elegant_all(texts) == want[1] and {r[9] for own in want[1] for r in own} > {"document", "section"}
+    monkeypatch.setattr(M, "curves", None)
+    monkeypatch.setattr(M, "elegant", None)
+    plain = [t for t in texts if not t or not B._ODD.search(t)]
+    assert [len(x) for x in B.elegant_all(plain)] == [len(w) for t, w in zip(texts, want[1], strict=True) if not t or not B._ODD.search(t)]
+    assert len(B.curves_all(plain)) == len(plain)
