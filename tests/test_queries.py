@@ -243,3 +243,21 @@ def test_slices_of_many_texts_at_once(spark, data, monkeypatch):
     plain = [t for t in texts if not t or not B._ODD.search(t)]
     assert [len(x) for x in B.elegant_all(plain)] == [len(w) for t, w in zip(texts, want[1], strict=True) if not t or not B._ODD.search(t)]
     assert len(B.curves_all(plain)) == len(plain)
+
+
+def test_bootstrap_draws_in_arrays(spark, data, monkeypatch):
+    """resampled() sums over the draws of resample(), also in pieces and where a draw is refused; nothing is sent to Python but texts."""
+    from prosegauge.operators import sequential
+
+    rng = np.random.default_rng(0)
+    for k in range(12):
+        n, m = rng.integers(0, 30, size=9 + k), rng.integers(0, 3, size=9 + k)
+        want = [100.0 * sum(int(m[i]) for i in d) / t if (t := sum(int(n[i]) for i in d)) else 0.0 for d in K.resample([""] * len(n), str(k), 20)]
+        monkeypatch.setattr(K, "_AT_ONCE", (1 << 20, 30)[k % 2])
+        assert K.resampled(n, m, str(k), 20) == want
+    with monkeypatch.context() as c:
+        c.setattr(K, "drawn", lambda seed, n, first=0: np.full(n, (1 << 64) - 1, np.uint64))
+        assert K.resampled(n, m, str(k), 20) == want
+    df = sequential.bootstrap(spark.read.parquet(f"{data}/documents.parquet"))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.where("low <= point and point <= high or se = 0").count() >= 0.9 * df.count() > 0
