@@ -167,6 +167,22 @@ def _control(spark: SparkSession, sql: str, rel: dict[str, DataFrame]) -> dict[s
 _CHARTS = {"ewma": control.EWMA, "cusum": control.CUSUM, "individuals": control.INDIVIDUALS}
 
 
+#: So many ids are broadcast at most, 8 MB.
+FEW_IDS = 1_000_000
+
+
+def _top_words(docs: DataFrame) -> DataFrame:
+    """Each row of its own id has its words counted where it is read; rows that share an id are one document, whose words are joined by shuffle."""
+    spark = docs.sparkSession
+    shared = written(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "shared-ids")
+    n = shared.limit(FEW_IDS + 1).count()
+    if not n:
+        return wide.top_words(docs)
+    same = docs["doc_id"].eqNullSafe(F.col("__id"))
+    ids = F.broadcast(shared) if n <= FEW_IDS else shared
+    return wide.top_words(docs.join(ids, same, "left_anti")).unionByName(spark.sql(X.TOP_WORDS, **base.relations(docs.join(ids, same, "left_semi"))))
+
+
 def run(spark: SparkSession, name: str, docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """One shared query over a table of documents (doc_id, text, lang)."""
     sql, more = SHARED[name]
@@ -174,6 +190,8 @@ def run(spark: SparkSession, name: str, docs: DataFrame, labels: DataFrame | Non
         return wide.curves(docs).select("doc_id", "slice", "n_slices", "words", "first_word", "last_word")
     if name == "trajectory_chunker":
         return _trajectory(docs)
+    if name == "top_words":
+        return _top_words(docs)
     if "words" in more:
         return spark.sql(_fill(sql, SPARK), **base.relations(docs))
     rel = {}

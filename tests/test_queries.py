@@ -261,3 +261,16 @@ def test_bootstrap_draws_in_arrays(spark, data, monkeypatch):
     df = sequential.bootstrap(spark.read.parquet(f"{data}/documents.parquet"))
     assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.where("low <= point and point <= high or se = 0").count() >= 0.9 * df.count() > 0
+
+
+def test_top_words_without_shuffle(spark, data, tmp_path):
+    """Words of rows with an id of their own aren't shuffled; rows that share one, or have none, are still one document."""
+    rows = [(1, "one two two three three Three."), (2, "alpha beta"), (2, "beta gamma gamma gamma"), (None, "zeta eta"), (None, "eta"), (3, None), (4, "İstanbul Kelvin the the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in Q.run(spark, "top_words", docs).where("doc_id is not null").collect())
+    assert [r for r in got if r[0] == 1] == [(1, "one", 1, 3), (1, "three", 3, 1), (1, "two", 2, 2)]
+    assert [r[:3] for r in got if r[0] == 2 and r[1] != "alpha"] == [(2, "beta", 2), (2, "gamma", 3)]
+    assert [r for r in got if r[0] == 4] == [(4, "elvin", 1, 3), (4, "stanbul", 1, 2), (4, "the", 2, 1)]
+    assert {(r["word"], r["c"]) for r in Q.run(spark, "top_words", docs).where("doc_id is null").collect()} == {("eta", 2), ("zeta", 1)}
+    plan = Q.run(spark, "top_words", spark.read.parquet(f"{data}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan
